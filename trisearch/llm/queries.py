@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, token_counts, token_store
+from . import bpe, common, licenses, token_counts, token_store, toxicity, url_filter
 
 
 def _vocabulary(name: str) -> str:
@@ -13,6 +14,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(common.read(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "tokens")
     token_store.write(common.read(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"), end=1)
@@ -23,17 +28,32 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.read(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.train(pages))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.train(docs, common.read(spark, sf_dir, "labels")))
+    held_out = F.pmod(common.crc_of_id(F.col("doc_id")), F.lit(4)) == 2
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(common.read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def queries():
     return {
+        "op2_licenses": op2_licenses,
         "op3_token_store": op3_token_store,
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op7_url_filter": op7_url_filter,
+        "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op2_licenses": licenses.sql()}
