@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, licenses, token_counts, token_store, toxicity, url_filter
+from . import bpe, common, lattice, licenses, token_counts, token_store, toxicity, url_filter
 
 
 def _vocabulary(name: str) -> str:
@@ -14,6 +14,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(common.read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(common.read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_lattice": op1_lattice,
         "op2_licenses": op2_licenses,
         "op3_token_store": op3_token_store,
         "op4_bpe_round_trip": op4_bpe_round_trip,
