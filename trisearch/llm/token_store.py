@@ -8,7 +8,9 @@ looks up one document skip whole stripes, and stripes are read in parallel.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +32,28 @@ CACHE_WORDS = 800_000
 CACHE_LENGTH = 64
 
 
+def stem(word: str) -> str:
+    """What to encode for a word: letters and digits with a comma or full stop
+    after them without it, as that is a token of its own, and ASCII letters lowered."""
+    bare = word[:-1] if word[-1:] in (".", ",") else word
+    if not bare.isalnum():
+        return word
+    return bare.lower() if bare.isascii() else bare
+
+
+#: A comma or full stop at a word's end that may be part of a longer run of signs.
+ODD = re.compile(r"[\W_][.,][ \n]")
+
+
+def spread(text: str) -> list[str]:
+    """The words of a text, with what would only make more of them taken off:
+    ASCII letters lowered, commas and full stops after words on their own."""
+    if "<|" not in text and not ODD.search(text):
+        text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        text = text.replace(", ", " , ").replace(". ", " . ").replace(",\n", " , ").replace(".\n", " . ")
+    return text.replace("\n", " ").split(" ")
+
+
 class WordEncoder:
     """Encodes texts with a tokenizers file that drops white space, by words:
     as no token crosses a space or line end, a text's ids are those of its words."""
@@ -38,30 +62,51 @@ class WordEncoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cache: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, with the end id after them."""
+    def learn(self, words: list[str]) -> None:
+        """Puts the ids of words in the cache."""
         import numpy as np
 
+        letters = [w for w in words if w.isalpha()]
+        for at in range(0, len(letters), 1000):  # faster than word by word
+            some = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                words = [*words, *some]
+                continue
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            self.cache.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        rest = [w for w in words if w not in self.cache]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.cache[w] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, with the end id after them."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-            cache[""] = b""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        words = [spread(t) for t in texts]
         new = [w for w in set().union(*words) if w not in cache]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        marked = {w: s for w in new if (s := stem(w)) != w}
+        bare = [w for w in {*new, *marked.values(), *".,"}.difference(marked) if w not in cache]
+        self.learn(bare)
+        for w, s in marked.items():
+            cache[w] = cache[s] + cache[w[-1]] if w[-1] in ".," else cache[s]
         last, get = end.to_bytes(4, "little"), cache.__getitem__
         found = [b"".join(map(get, w)) + last for w in words]
-        for w in new:
-            if len(w) > CACHE_LENGTH:
-                del cache[w]
+        for w in [*marked, *(w for w in bare if len(w) > CACHE_LENGTH)]:
+            cache.pop(w, None)
         return found
 
 
