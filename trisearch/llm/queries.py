@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, lattice, licenses, token_counts, token_store, toxicity, url_filter
+from . import bpe, common, jaccard_join, lattice, licenses, token_counts, token_store, toxicity, url_filter
 
 
 def _vocabulary(name: str) -> str:
@@ -48,6 +48,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(common.read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(common.read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_lattice": op1_lattice,
@@ -57,6 +61,7 @@ def queries():
         "op7_url_filter": op7_url_filter,
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 

@@ -19,8 +19,8 @@ from . import common
 
 #: Bounds of the training sample: labelled documents of each class, and bytes of
 #: whole texts of each class. The documents with the smallest hashes of their ids are taken.
-MAX_DOCS = 4000
-MAX_BYTES = 24 << 20
+MAX_DOCS = 1500
+MAX_BYTES = 5 << 20
 #: Characters of an n-gram; up to SHARED characters, counts are of both classes.
 ORDER, SHARED = 6, 2
 DISCOUNT = 0.75
@@ -90,30 +90,26 @@ class Ratio:
         return logs[ends] - logs[np.concatenate([[0], ends[:-1]])]
 
 
-def fit_ratio(texts: list[list[str]], toxic: list[int]) -> Ratio:
-    """The two models of lists of words and their labels."""
+def fit_ratio(words: list[str], uses) -> Ratio:
+    """The two models of words, of which uses has the numbers in ordinary and in toxic texts."""
     import numpy as np
 
-    counted = [Counter(), Counter()]
-    for x, label in zip(texts, toxic, strict=True):
-        counted[label].update(x)
-    words = sorted({*counted[0], *counted[1]})
     hashes, have, counts, ends = _grams(words)
     sizes = np.diff(np.concatenate([[0], ends]))
-    uses = np.array([np.repeat(np.fromiter((c[w] for w in words), float, len(words)), sizes) for c in counted])
-    before = [np.concatenate([h[:1], h[:-1]])[counts] for h in hashes]
-    hashes, have = [h[counts] for h in hashes], have[counts]
+    uses = np.repeat(np.asarray(uses, np.float32), sizes, axis=1)
+    have, begun = have[counts], np.flatnonzero(counts) - 1
     alphabet = len(np.unique(hashes[1])) + 1
+    before, here = lambda n: hashes[n][begun], lambda n: hashes[n][counts]
     grams, contexts = [None], [None]
     for n in range(1, ORDER + 1):
         inside = have >= n
-        keys, first, of = np.unique(hashes[n][inside], return_index=True, return_inverse=True)
-        ctx, ctx_of = np.unique(before[n - 1][inside][first], return_inverse=True)
+        keys, first, of = np.unique(here(n)[inside], return_index=True, return_inverse=True)
+        ctx, ctx_of = np.unique(before(n - 1)[inside][first], return_inverse=True)
         a = np.array([np.bincount(of, u[inside], len(keys)) for u in uses])
         if n < ORDER:  # continuation counts, but of n-grams that begin a word their own
             longer = np.flatnonzero(have > n)
-            distinct, one, whose = np.unique(hashes[n + 1][longer], return_index=True, return_inverse=True)
-            ends_in = np.searchsorted(keys, hashes[n][longer[one]])
+            distinct, one, whose = np.unique(here(n + 1)[longer], return_index=True, return_inverse=True)
+            ends_in = np.searchsorted(keys, here(n)[longer[one]])
             begins = np.bincount(of, have[inside] > n, len(keys)) == 0
             kinds = np.array([np.bincount(ends_in, np.bincount(whose, u[longer], len(distinct)) > 0, len(keys)) for u in uses])
             a = np.where(begins, a, kinds)
@@ -175,27 +171,49 @@ class Words:
         return means
 
 
+def _means(ratios, uses):
+    """Means of ratios of words, for rows of a sparse matrix of uses: (row, word, n) arrays and the number of rows."""
+    import numpy as np
+
+    row, word, n, rows = uses
+    weight = 1 + np.log(n)
+    return (np.bincount(row, weight * ratios[word], rows) / (np.bincount(row, weight, rows) + PRIOR))[:, None]
+
+
 class Classifier:
     """score(): 0 to 1 for lists of words."""
 
-    def __init__(self, texts: list[list[str]], toxic: list[int], share: float):
-        """share: of toxic ones among all labelled texts, which the sample need not have."""
+    def __init__(self, texts, toxic: list[int], share: float):
+        """texts: lists of words, or an iterable of such; share: of toxic ones
+        among all labelled texts, which the sample need not have."""
         import numpy as np
 
+        words: dict[str, int] = {}
+        row, word, n = [], [], []
+        for i, x in enumerate(texts):
+            c = Counter(x)
+            row.append(np.full(len(c), i))
+            word.append(np.fromiter((words.setdefault(w, len(words)) for w in c), np.int32, len(c)))
+            n.append(np.fromiter(c.values(), np.int32, len(c)))
         y = np.array(toxic, float)
         self.ratio, self.curve, self.shift, self.share = None, None, 0.0, share
-        if 0 < y.sum() < len(y):
-            x = np.zeros((len(y), 1))
-            for k in range(FOLDS):
-                inside = [i for i in range(len(y)) if i % FOLDS != k]
-                outside = [i for i in range(len(y)) if i % FOLDS == k]
-                if outside:
-                    part = fit_ratio([texts[i] for i in inside], [toxic[i] for i in inside])
-                    x[outside] = Words(part).features([texts[i] for i in outside])
-            self.ratio = fit_ratio(texts, toxic)
-            self.curve = fit_logistic(x, y)
-            have = y.mean()
-            self.shift = float(np.log(share / (1 - share)) - np.log(have / (1 - have)))
+        if not 0 < y.sum() < len(y) or not words:
+            return
+        words, row, word, n = list(words), *(np.concatenate(x) for x in (row, word, n))
+
+        def fitted(some):
+            counts = np.array([np.bincount(word[m], n[m], len(words)) for m in (some & (y[row] == 0), some & (y[row] == 1))])
+            return fit_ratio(words, counts)
+
+        x = np.zeros((len(y), 1))
+        for k in range(FOLDS):
+            outside = row % FOLDS == k
+            ratios = fitted(~outside).words(words)
+            x[k::FOLDS] = _means(ratios, (row[outside] // FOLDS, word[outside], n[outside], len(x[k::FOLDS])))
+        self.ratio = fitted(np.ones(len(row), bool))
+        self.curve = fit_logistic(x, y)
+        have = y.mean()
+        self.shift = float(np.log(share / (1 - share)) - np.log(have / (1 - have)))
 
     def score(self, lists: list[list[str]]):
         import numpy as np
@@ -234,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, fol
     within = sizes.select("doc_id").distinct().collect()
     keep = spark.createDataFrame([(r[0],) for r in within], "doc_id long")
     rows = sorted(found.join(F.broadcast(keep), "doc_id").select("h", "doc_id", "toxic", "text").collect())
-    return Classifier([words_of(r["text"]) for r in rows], [r["toxic"] for r in rows], share)
+    return Classifier((words_of(r["text"]) for r in rows), [r["toxic"] for r in rows], share)
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
