@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, embedding_dedup, jaccard_join, lattice, licenses, token_counts, token_store, toxicity, url_filter
+from . import bpe, common, decontaminate, embedding_dedup, jaccard_join, lattice, licenses, token_counts, token_store, toxicity, url_filter
 
 
 def _vocabulary(name: str) -> str:
@@ -32,6 +32,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(common.read(spark, sf_dir, "embeddings"))
 
@@ -62,6 +66,7 @@ def queries():
         "op2_licenses": op2_licenses,
         "op3_token_store": op3_token_store,
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_decontaminate": op5_decontaminate,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_toxicity": op8_toxicity,
