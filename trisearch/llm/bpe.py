@@ -166,30 +166,21 @@ def _round_trip(codec: BpeCodec, text: str):
 
     ids = codec.encode(text)
     decoded = codec.decode(np.frombuffer(ids, "<u4").tolist())
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    return len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs:
     encoded, then decoded from the ids, in one pass and without a shuffle. Nulls
     and repeated rows are as in encode()."""
-    return _map(docs, vocabulary, _round_trip, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
+    def row(codec, text):
+        n, _, ids_sha256, decoded_sha256 = _round_trip(codec, text)
+        return n, ids_sha256, decoded_sha256
 
-def recode_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """docs with text replaced by what its ids decode to, other columns as they
-    are. A null text stays null."""
-    sent = common.send_file(docs.sparkSession, vocabulary)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    return _map(docs, vocabulary, row, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-        codec = common.once(("bpe", sent.value[0]), lambda: BpeCodec(sent.value[1]))
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for part in common.chunks(batch):
-                texts = [None if t is None else codec.decode(np.frombuffer(codec.encode(t), "<u4").tolist()) for t in part.column(at).to_pylist()]
-                yield part.set_column(at, "text", pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+def encode_and_check(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """As round_trip(), with ids before the digests, as encode() gives them."""
+    return _map(docs, vocabulary, _round_trip, "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")

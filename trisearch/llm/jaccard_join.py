@@ -117,13 +117,13 @@ def boundary_by_cost(counts, level, percent: int = PERCENT) -> int:
 
 
 def _scan(rows: DataFrame, words: int) -> DataFrame:
-    """A row (doc_id, n, node, bitmap) for each of rows (doc_id, text), and for each task and block of counters one with (block, counts)."""
+    """A row (doc_id, text_hash, n, node, bitmap) for each of rows (doc_id, text, text_hash), and for each task and block of counters one with (block, counts)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("bitmap", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("bitmap", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         shingler, counts, seen = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int32), set()
         for batch in batches:
             for part in common.chunks(batch):
@@ -137,13 +137,13 @@ def _scan(rows: DataFrame, words: int) -> DataFrame:
                         seen.add(node[-1])
                         counts += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32) if len(s) > 50_000 else _few(s, counts)
                 none = pa.nulls(len(n))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(bitmap, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(bitmap, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         blocks = counts.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(1))
         none = pa.nulls(len(some))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, n int, node long, bitmap binary, block int, counts binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, node long, bitmap binary, block int, counts binary")
 
 
 def _few(shingles, counts):
@@ -270,25 +270,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, p
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "itemsa", "itemsb").mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_hash, n, group_id, component_id) of every row of docs (doc_id, text), see linked().
 
-    Texts are cut at ASCII white space with A-Z lowered; a text's set has its
-    distinct shingles of words, or all of a shorter text as one. Two rows are linked when their sets'
-    intersection has at least percent hundredths of their union; component_id is
-    the smallest id that links reach. A null or empty text, or one of white space,
-    has no shingles and links with nothing, so its component is its own id. Null ids take part and have
-    the component of what they link to, null if that has no other id; repeated
-    rows are each returned; an empty table gives an empty one; other columns are ignored.
-    Sets are told apart by 63-bit hashes and shingles by 64-bit ones.
+    text_hash is xxhash64 of the text; group_id names the component and is null for sets without shingles.
     """
     spark = docs.sparkSession
-    rows = common.id_text(docs)
+    rows = common.id_text(docs).withColumn("text_hash", F.xxhash64("text"))
     scanned = common.stored(_scan(rows, words), "scan")
-    members = scanned.where("block is null").select("doc_id", "n", "node", "bitmap")
+    members = scanned.where("block is null").select("doc_id", "text_hash", "n", "node", "bitmap")
     nodes = common.stored(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
     level, boundary = _levels(scanned, percent)
-    lists = common.stored(_lists(rows, level, boundary, words, percent), "lists")
+    lists = common.stored(_lists(rows.drop("text_hash"), level, boundary, words, percent), "lists")
 
     links, labels, tried = None, None, None
     for turn in range(ROUNDS + 1):
@@ -329,6 +322,37 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")
     least = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rep")
-    least = least.withColumn("component_id", F.min("rep").over(Window.partitionBy("component"))).select("node", "component_id")
-    joined = members.join(least, "node", "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = least.withColumn("component_id", F.min("rep").over(Window.partitionBy("component"))).select("node", F.col("component").alias("group_id"), "component_id")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return members.join(least, "node", "left").select("doc_id", "text_hash", "n", "group_id", component.alias("component_id"))
+
+
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
+
+    Texts are cut at ASCII white space with A-Z lowered; a text's set has its
+    distinct shingles of words, or all of a shorter text as one. Two rows are linked when their sets'
+    intersection has at least percent hundredths of their union; component_id is
+    the smallest id that links reach. A null or empty text, or one of white space,
+    has no shingles and links with nothing, so its component is its own id. Null ids take part and have
+    the component of what they link to, null if that has no other id; repeated
+    rows are each returned; an empty table gives an empty one; other columns are ignored.
+    Sets are told apart by 63-bit hashes and shingles by 64-bit ones.
+    """
+    return grouped(docs, words, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest
+    id, null being the largest, and of rows of one id that of the smallest hash of
+    the text; of rows equal in both any one. Rows without shingles all stay."""
+    found = common.stored(grouped(docs, words, percent), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.where("group_id is not null").groupBy("group_id").agg(F.min(rank).alias("best"))
+    rows = found.join(best, "group_id").groupBy("doc_id", "text_hash", (rank == F.col("best")).alias("is_best")).count()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_hash"))
+    named = lambda x: x.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    repeated = rows.where("is_best and count > 1")
+    gone = rows.where("not is_best").unionByName(repeated)
+    once = docs.join(named(repeated), same, "left_semi").withColumn("gone_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "gone_hash"]).drop("gone_hash")
+    return docs.join(named(gone), same, "left_anti").unionByName(once)
