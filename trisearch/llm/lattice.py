@@ -269,6 +269,16 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", class_col: s
         n_words = found.pop(-1)
         weights = (found, n_words / max(sum(found.values()), n_words + 1))
 
+    def spelled(batches):
+        import pyarrow as pa
+
+        lattice = prepared(sent.value, weights)
+        for batch in batches:
+            logs = lattice.log10(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float32())], names=[*batch.schema.names, "spelled"])
+
+    table = common.stored(table.mapInArrow(spelled, ", ".join(["word binary", *(f"{c} long" for c in own), "spelled float"])), "spelled")
+
     size = common.text_bytes(rows)
     buckets = common.tasks_for(spark, size)
     dealt = rows.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket")).repartition(buckets, "bucket")
@@ -288,7 +298,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", class_col: s
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["bucket", "word"])
 
     asked = dealt.mapInArrow(distinct, "bucket int, word binary")
-    answers = asked.join(table, "word", "left").select("bucket", "word", *(F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in own), F.coalesce(every, F.lit(0)).alias("c"))
+    answers = asked.join(table, "word", "left").select("bucket", "word", "spelled", *(F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in own), F.coalesce(every, F.lit(0)).alias("c"))
 
     def meet(documents, words):
         import numpy as np
@@ -299,7 +309,10 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", class_col: s
         place = {w: i for i, w in enumerate(keys)}
         c = words.column("c").to_numpy().astype(float)
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        spell = 10.0 ** np.maximum(lattice.log10(keys), -300) * (1 - END_SHARE)
+        logs = words.column("spelled").to_numpy().astype(float)
+        new = np.flatnonzero(np.isnan(logs))  # words that training has not seen
+        logs[new] = lattice.log10([keys[i] for i in new])
+        spell = 10.0 ** np.maximum(logs, -300) * (1 - END_SHARE)
         if END in place:
             spell[place[END]] = END_SHARE
         shared = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * v * spell) / n if n else spell
