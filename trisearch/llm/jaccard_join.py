@@ -15,6 +15,8 @@ the overlap from above; pairs within the bound are verified with the sets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +24,15 @@ from . import common
 from .graph import components
 
 WORDS, PERCENT = 5, 80
-#: Counters by which shingles that many texts share are told, 2 to this power.
-SKETCH_BITS = 20
+#: Counters by which shingles that many texts share are told: 2 to a power, one for each 8 shingles or so.
+MIN_BITS, MAX_BITS = 14, 22
 BLOCK = 4096
-BITMAP_BITS = 1024
-#: Sets of a list with which a round compares the others, and rounds before the rest is compared.
-HUBS, ROUNDS = 8, 3
+#: Bits of a set's bitmap: about two for each shingle, a power of two between these.
+MIN_BITMAP, MAX_BITMAP = 1 << 8, 1 << 14
+#: Sets of a list with which each round compares the others, before the rest is compared.
+HUBS = (8, 8, 16)
+#: Words of which a Python worker remembers the hash; beyond, it starts anew.
+CACHE_WORDS = 300_000
 #: Ids that are broadcast to select texts (8 bytes each); beyond, a shuffle joins them.
 BROADCAST_IDS = 1_000_000
 
@@ -48,7 +53,7 @@ class Shingler:
         try:
             h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            if len(cache) > 1_000_000:
+            if len(cache) > CACHE_WORDS:
                 cache.clear()
             for w in words:
                 if w not in cache:
@@ -77,7 +82,25 @@ def bitmap_of(shingles) -> bytes:
     """Bits that each shingle of the set flips; where two bitmaps differ, the sets do."""
     import numpy as np
 
-    return np.packbits(np.bincount((shingles % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1 > 0).tobytes()
+    bits = min(MAX_BITMAP, max(MIN_BITMAP, 1 << (2 * len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 > 0).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ; the longer one's parts are laid over each other."""
+    import numpy as np
+
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)  # bit counts of signed numbers are of their absolute values
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y))) ^ y).sum())
+
+
+def folded(bitmaps: list[bytes]):
+    """Of each bitmap its parts of the least size laid over each other, as columns of 64 bits."""
+    import numpy as np
+
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(b, np.int64).reshape(-1, MIN_BITMAP // 64)) for b in bitmaps]).reshape(len(bitmaps), -1)
 
 
 def needed(n, percent: int = PERCENT):
@@ -85,20 +108,30 @@ def needed(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def prefix_pairs(shingles, level, boundary: int, percent: int = PERCENT):
-    """The keys under which a set stands: see the module."""
+def slots(shingles, bits: int):
+    import numpy as np
+
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def prefix_keys(shingles, level, boundary: int, percent: int = PERCENT):
+    """(keys, places): what a set stands under, see the module, and where in its
+    order the shingle of the key is, 0 for pairs."""
     import numpy as np
 
     n = len(shingles)
-    ordered = shingles[np.lexsort((shingles, level[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))]
+    bits = len(level).bit_length() - 1
+    ordered = shingles[np.argsort(level[slots(shingles, bits)], kind="stable")]
     first = n - needed(n, percent) + 1
-    keys = []
+    keys, places = [], []
     if n <= boundary and (k := min(n, first + 1)) > 1:
         i, j = np.triu_indices(k, 1)
         keys.append((ordered[i] * np.uint64(0xBF58476D1CE4E5B9) + ordered[j]) * np.uint64(0x94D049BB133111EB))
+        places.append(np.zeros(len(i), np.int32))
     if n > boundary * percent // 100:
         keys.append(ordered[:first])
-    return np.concatenate(keys) if keys else ordered[:0]
+        places.append(np.arange(first, dtype=np.int32))
+    return (np.concatenate(keys), np.concatenate(places)) if keys else (ordered[:0], np.zeros(0, np.int32))
 
 
 def boundary_by_cost(counts, level, percent: int = PERCENT) -> int:
@@ -116,44 +149,40 @@ def boundary_by_cost(counts, level, percent: int = PERCENT) -> int:
     return size
 
 
-def _scan(rows: DataFrame, words: int) -> DataFrame:
-    """A row (doc_id, text_hash, n, node, bitmap) for each of rows (doc_id, text, text_hash), and for each task and block of counters one with (block, counts)."""
+def _scan(rows: DataFrame, words: int, bits: int) -> DataFrame:
+    """A row (doc_id, text_hash, n, node, bitmap, f0 to f3) for each of rows (doc_id, text, text_hash),
+    and for each task and block of counters one with (block, counts), a byte each."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("bitmap", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
-        shingler, counts, seen = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int32), set()
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("bitmap", pa.binary()), *((f"f{i}", pa.int64()) for i in range(4)), ("block", pa.int32()), ("counts", pa.binary())])
+        shingler, counts, seen = Shingler(words), np.zeros(1 << bits, np.int32), set()
         for batch in batches:
-            for part in common.chunks(batch):
-                n, node, bitmap = [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingler(text)
-                    n.append(len(s))
-                    node.append(node_of(s) if len(s) else None)
-                    bitmap.append(bitmap_of(s) if len(s) else None)
-                    if len(s) and node[-1] not in seen:  # copies do not make a shingle frequent
-                        seen.add(node[-1])
-                        counts += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32) if len(s) > 50_000 else _few(s, counts)
-                none = pa.nulls(len(n))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(bitmap, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        blocks = counts.reshape(-1, BLOCK)
+            for part in common.chunks(batch, limit=2 << 20):
+                found = [shingler(t) for t in part.column(1).to_pylist()]
+                nodes = [node_of(x) if len(x) else None for x in found]
+                bitmaps = [bitmap_of(x) for x in found]
+                none = np.array([x is None for x in nodes])
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(map(len, found)), pa.int32()), pa.array(nodes, pa.int64()), pa.array(bitmaps, pa.binary()), *(pa.array(c, mask=none) for c in folded(bitmaps).T.copy()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                new = [x for x, node in zip(found, nodes, strict=True) if node is not None and node not in seen and not seen.add(node)]  # copies do not make a shingle frequent
+                if new:
+                    at, times = np.unique(slots(np.concatenate(new), bits), return_counts=True)
+                    counts[at] += times.astype(np.int32)
+        blocks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(1))
-        none = pa.nulls(len(some))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], schema=schema)
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256]
+            none = {f.name: pa.nulls(len(part), f.type) for f in schema}
+            none |= {"block": pa.array(part, pa.int32()), "counts": pa.array([blocks[i].tobytes() for i in part], pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(none.values()), schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, node long, bitmap binary, block int, counts binary")
-
-
-def _few(shingles, counts):
-    import numpy as np
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, node long, bitmap binary, f0 long, f1 long, f2 long, f3 long, block int, counts binary")
 
-    np.add.at(counts, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-    return 0
 
-
-def _levels(scanned: DataFrame, percent: int):
+def _levels(scanned: DataFrame, percent: int, bits: int):
     """(level of each counter, boundary). The counters' sums have a fixed size."""
     import numpy as np
 
@@ -164,21 +193,22 @@ def _levels(scanned: DataFrame, percent: int):
         sums = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(c, np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
+                sums[b] = sums.get(b, 0) + np.frombuffer(c, np.uint8).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
 
-    counts = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
-    for r in scanned.where("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary").collect():
-        counts[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    counts = np.zeros((1 << bits) // BLOCK * BLOCK, np.int32).reshape(-1, BLOCK)
+    for r in scanned.where("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary").toLocalIterator():
+        counts[r["block"]] = np.frombuffer(r["counts"], np.int32)
     counts = counts.ravel()
-    # Level 0 up to twice the mean; then a level for each doubling.
-    level = np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / max(2 * counts.mean(), 4)) + 1)).astype(np.int8)
+    # Level 0 for what chance brings together; then two levels for each doubling.
+    mean = counts.mean()
+    level = np.maximum(0, np.floor(2 * np.log2(np.maximum(counts, 1) / max(mean + 4 * mean**0.5, 2))) + 1).astype(np.int8)
     return level, boundary_by_cost(counts, level, percent)
 
 
 def _lists(rows: DataFrame, level, boundary: int, words: int, percent: int) -> DataFrame:
-    """(key, node, n): the lists with more than one set."""
-    sent = rows.sparkSession.sparkContext.broadcast(level)  # 2 ** SKETCH_BITS bytes
+    """(key, node, n, place): the lists with more than one set."""
+    sent = rows.sparkSession.sparkContext.broadcast(level)  # a byte for each counter
 
     def run(batches):
         import numpy as np
@@ -186,27 +216,32 @@ def _lists(rows: DataFrame, level, boundary: int, words: int, percent: int) -> D
 
         shingler, seen = Shingler(words), set()
         for batch in batches:
-            for part in common.chunks(batch):
-                keys, nodes, sizes = [np.zeros(0, np.uint64)], [], []
+            for part in common.chunks(batch, limit=2 << 20):
+                found, nodes, sizes = [], [], []
                 for text in part.column(1).to_pylist():
-                    s = shingler(text)
-                    if len(s) and (node := node_of(s)) not in seen:
+                    x = shingler(text)
+                    if len(x) and (node := node_of(x)) not in seen:
                         seen.add(node)
-                        keys.append(prefix_pairs(s, sent.value, boundary, percent))
+                        found.append(prefix_keys(x, sent.value, boundary, percent))
                         nodes.append(node)
-                        sizes.append(len(s))
-                each = list(map(len, keys[1:]))
-                columns = np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each)
+                        sizes.append(len(x))
+                if not found:
+                    continue
+                each = [len(k) for k, _ in found]
+                columns = np.concatenate([k for k, _ in found]).view(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each), np.concatenate([p for _, p in found])
                 for at in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["key", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["key", "node", "n", "place"])
 
-    order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-    entries = rows.mapInArrow(run, "key long, node long, n int").withColumn("last", F.lag("node").over(order)).where("last is null or last <> node").select("key", "node", "n")
-    return entries.withColumns({"last": F.lag("node").over(order), "next": F.lead("node").over(order)}).where("last is not null or next is not null").select("key", "node", "n")
+    order = Window.partitionBy("key").orderBy("node")
+    entries = rows.mapInArrow(run, "key long, node long, n int, place int").withColumn("last", F.lag("node").over(order)).where("last is null or last <> node").drop("last")
+    return entries.withColumns({"last": F.lag("node").over(order), "next": F.lead("node").over(order)}).where("last is not null or next is not null").drop("last", "next")
 
 
-def _like(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _like(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
+    """Whether sets of n and m can be alike enough by their sizes, and with the
+    shingle at places i and j as the first that they share."""
+    rest = F.least(n - i, m - j)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= (n + m) * percent)
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -223,9 +258,9 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
             n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            shared = (n + m - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2  # at most
+            apart = np.fromiter(map(differing, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            shared = (n + m - apart) // 2  # at most
             yield batch.select([0, 1]).filter(pa.array(100 * shared >= percent * (n + m - shared)))
 
     one = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"bitmap{x}"))
@@ -277,47 +312,56 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     """
     spark = docs.sparkSession
     rows = common.id_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    scanned = common.stored(_scan(rows, words), "scan")
-    members = scanned.where("block is null").select("doc_id", "text_hash", "n", "node", "bitmap")
-    nodes = common.stored(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
-    level, boundary = _levels(scanned, percent)
+    bits = min(MAX_BITS, max(MIN_BITS, round(math.log2(max(common.text_bytes(rows), 1) / 48))))
+    scanned = common.stored(_scan(rows, words, bits), "scan")
+    members = scanned.where("block is null").drop("block", "counts")
+    nodes = common.stored(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(4))), "nodes")
+    level, boundary = _levels(scanned, percent, bits)
     lists = common.stored(_lists(rows.drop("text_hash"), level, boundary, words, percent), "lists")
 
     links, labels, tried = None, None, None
-    for turn in range(ROUNDS + 1):
-        left = lists
-        if labels is not None:
+    own = Window.partitionBy("key")
+    for turn, hubs in enumerate([*HUBS, None]):
+        if labels is None:
+            left = lists.withColumn("component", F.col("node")).withColumn("degree", F.lit(0))
+        else:
             # Lists whose sets are not all of one component yet.
-            left = lists.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-            own = Window.partitionBy("key")
+            degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+            known = labels.join(degrees, "node", "left")
+            left = lists.join(known, "node", "left").withColumns({"component": F.coalesce("component", "node"), "degree": F.coalesce("degree", F.lit(0))})
             left = left.withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)}).where("low <> high").drop("low", "high")
-        else:
-            left = left.withColumn("component", F.col("node"))
-        if turn < ROUNDS:
-            order = Window.partitionBy("key").orderBy("h", "node")
-            hub = F.when(F.row_number().over(order) <= HUBS, F.struct("node", "n", "component"))
-            marked = left.withColumn("h", F.xxhash64("node", F.lit(turn))).withColumn("hub", hub)
-            before = marked.withColumn("hubs", F.collect_list("hub").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-            found = before.select("node", "n", "component", F.explode("hubs").alias("o")).where(F.col("o.component") != F.col("component")).where(_like(F.col("n"), F.col("o.n"), percent)).select(*_pair("node", "o.node"))
+        if hubs:
+            # The sets with most links so far are the likeliest to link to others.
+            order = Window.partitionBy("key").orderBy(F.desc("degree"), "h", "node")
+            marked = left.withColumn("h", F.xxhash64("node", F.lit(turn)))
+            hub = F.when(F.row_number().over(order) <= hubs, F.struct("node", "n", "place", "component"))
+            before = marked.withColumn("hub", hub).withColumn("hubs", F.collect_list("hub").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+            fits = lambda o: (o["component"] != F.col("component")) & _like(F.col("n"), o["n"], F.col("place"), o["place"], percent)
+            found = before.select("node", F.explode(F.transform(F.filter("hubs", fits), lambda o: o["node"])).alias("o")).select(*_pair("node", "o"))
         else:
             # Every pair of a set outside its list's largest component with a set of another one.
             sizes = left.groupBy("key", "component").count()
             core = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("core"))
-            outside = left.join(core, "key").where("component <> core").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))
-            found = left.join(outside, "key").where("component <> c").where(_like(F.col("n"), F.col("m"), percent)).select(*_pair("node", "other"))
+            left = left.join(nodes.select("node", *(f"f{i}" for i in range(4))), "node")
+            outside = left.join(core, "key").where("component <> core").select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "component", "f0", "f1", "f2", "f3")))
+            apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}2"))) for i in range(4)), F.lit(0))
+            shared = (F.col("n") + F.col("n2") - apart) / 2  # at most
+            possible = shared * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+            fits = (left["key"] == outside["key"]) & (F.col("component") != F.col("component2")) & _like(F.col("n"), F.col("n2"), F.col("place"), F.col("place2"), percent) & possible
+            found = left.join(outside, fits).select(*_pair("node", "node2"))
         found = found.distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = common.stored(found, "pairs")
         if found.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
+            continue
         tried = found if tried is None else tried.union(found)
         possible = common.stored(_bounded(found, nodes, percent), "possible")
         new = common.stored(_verified(possible, rows, nodes, words, percent), "linked")
+        if new.isEmpty():
+            continue
         links = new if links is None else links.union(new)
-        labels = components(links)
+        labels = common.stored(components(links), "labels")
 
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")
