@@ -31,11 +31,12 @@ def head(root: str) -> str | None:
 
 
 def _below(root: str, paths) -> list[str]:
-    """Paths of the repository as paths below root; others are left out."""
+    """Paths of the repository as paths below root; others, and the index's own files, are left out."""
     top = toplevel(root)
     inside = os.path.relpath(os.path.realpath(root), os.path.realpath(top)) if top else "."
     prefix = "" if inside == "." else inside + "/"
-    return sorted({p.removeprefix(prefix) for p in map(str.strip, paths) if p and p.startswith(prefix)})
+    found = {p.removeprefix(prefix) for p in map(str.strip, paths) if p and p.startswith(prefix)}
+    return sorted(p for p in found if not p.startswith(".trisearch/"))
 
 
 def _need(root: str) -> None:
