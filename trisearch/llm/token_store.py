@@ -9,8 +9,10 @@ looks up one document skip whole stripes, and stripes are read in parallel.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
+from functools import cache
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,23 +34,32 @@ CACHE_WORDS = 800_000
 CACHE_LENGTH = 64
 
 
+def plain(word: str) -> bool:
+    """Whether a word is of letters and digits, and still is when it is composed and lowered."""
+    return word.isalnum() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalnum())
+
+
+@cache
+def odd() -> re.Pattern:
+    """Finds a comma or full stop at a word's end that may be part of a longer run of
+    signs, as after a sign or after a letter that leaves one when it is composed and lowered."""
+    left = "".join(c for c in map(chr, range(0x80, 0x30000)) if c.isalnum() and not plain(c))
+    return re.compile(rf"[\W_{left}][.,][ \n]")
+
+
 def stem(word: str) -> str:
     """What to encode for a word: letters and digits with a comma or full stop
     after them without it, as that is a token of its own, and ASCII letters lowered."""
     bare = word[:-1] if word[-1:] in (".", ",") else word
-    if not bare.isalnum():
+    if not plain(bare):
         return word
     return bare.lower() if bare.isascii() else bare
 
 
-#: A comma or full stop at a word's end that may be part of a longer run of signs.
-ODD = re.compile(r"[\W_][.,][ \n]")
-
-
 def spread(text: str) -> list[str]:
     """The words of a text, with what would only make more of them taken off:
     ASCII letters lowered, commas and full stops after words on their own."""
-    if "<|" not in text and not ODD.search(text):
+    if "<|" not in text and not odd().search(text):
         text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         text = text.replace(", ", " , ").replace(". ", " . ").replace(",\n", " , ").replace(".\n", " . ")
     return text.replace("\n", " ").split(" ")
