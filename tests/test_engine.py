@@ -70,6 +70,18 @@ def test_incremental_build_equals_a_full_one(spark, tmp_path, rows):
     assert read(again) == read(full)
 
 
+def test_refresh_later(spark, folder, rows):
+    import trisearch
+
+    engine = trisearch.Engine.open_local(spark, str(folder)).with_config(Config(quiet=True))
+    assert engine.refresh_later() is None
+    engine.build_index()
+    assert engine.refresh_later(60) is None
+    (folder / "late.py").write_text("late_word")
+    engine.refresh_later(-1).join()
+    assert rows(engine.find_files("late")) == [("late.py",)]
+
+
 def test_empty_corpus(spark, tmp_path, rows):
     empty = spark.createDataFrame([], corpora.SCHEMA)
     index = indexes.build(empty, str(tmp_path / "x"))

@@ -9,10 +9,11 @@ import time
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import IndexFailure, InputOutput
+from .errors import IndexFailure, InputOutput, LockFailure
 from .operators import filters, match, postings
 from .plans import regex, trigrams
 from .sources import corpus as corpora
@@ -120,6 +121,23 @@ class Engine:
     def build_index(self, incremental: bool = True) -> indexes.Index:
         return indexes.build(self.corpus(), self.index_path, git.head(self.root) if self.root else None, incremental)
 
+    def refresh_later(self, seconds: int = 30) -> InheritableThread | None:
+        """Brings an index that is older than seconds up to date in a thread of its own;
+        searches use the old version until it is done. None if it isn't due or another build runs."""
+        index = self.index()
+        if index is None or time.time() - index.meta["built_at"] <= seconds:
+            return None
+
+        def build():
+            try:
+                self.build_index()
+            except LockFailure:
+                log.info("another build is under way")
+
+        thread = InheritableThread(target=build, daemon=True)
+        thread.start()
+        return thread
+
     def index(self) -> indexes.Index | None:
         return indexes.open_index(self.spark, self.index_path) if indexes.current(self.spark, self.index_path) else None
 

@@ -12,10 +12,11 @@ from .engine import Engine, SearchOptions, search_files
 from .functions import filetypes, hints, text
 from .functions.durations import parse_since
 from .operators import context, filters, formats, match, postings
-from .plans import regex, trigrams
+from .plans import trigrams
 from .sources import corpus as corpora
 from .sources import git
 from .sources import index as indexes
+from .tools import definition_pattern
 
 #: Extensions that the documents' paths have by turns.
 EXTENSIONS = ["rs", "py", "js", "md", "h", "txt"]
@@ -446,14 +447,6 @@ def read_file_range(spark, sf_dir):
     return formats.numbered(lines.where(F.col("line_number").between(2, 12)))
 
 
-DEFINITION = r"(?:pub\s+)?(?:fn|struct|enum|trait|type|impl|class|def|function|func|fun|const|let|var|val|interface)\s+{}\b"
-
-
-def definition_pattern(symbol: str) -> str:
-    """A pattern for likely definitions of a symbol."""
-    return DEFINITION.format(regex.escape(symbol))
-
-
 @query(found("regexp_matches(line, '(?:pub[ \\t]+)?(?:fn|struct|enum|trait|type|impl|class|def|function|func|fun|const|let|var|val|interface)[ \\t]+track\\b') OR regexp_matches(line, 'var[ \\t]+t\\b')", PAGES))
 def find_definitions(spark, sf_dir):
     files = pages(spark, sf_dir)
