@@ -44,7 +44,7 @@ def odd() -> re.Pattern:
     """Finds a comma or full stop at a word's end that may be part of a longer run of
     signs, as after a sign or after a letter that leaves one when it is composed and lowered."""
     left = "".join(c for c in map(chr, range(0x80, 0x30000)) if c.isalnum() and not plain(c))
-    return re.compile(rf"[\W_{left}][.,][ \n]")
+    return re.compile(rf"[.,](?<=[\W_{left}].)[ \n]")
 
 
 def stem(word: str) -> str:
@@ -82,7 +82,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words in the cache."""
@@ -107,18 +107,24 @@ class WordEncoder:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        words = [spread(t) for t in texts]
-        new = [w for w in set().union(*words) if w not in cache]
+        words, ends = [], []
+        for t in texts:
+            words += spread(t)
+            ends.append(len(words))
+        found = list(map(cache.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = {words[i] for i in missing}
         marked = {w: s for w in new if (s := stem(w)) != w}
         bare = [w for w in {*new, *marked.values(), *".,"}.difference(marked) if w not in cache]
         self.learn(bare)
         for w, s in marked.items():
             cache[w] = cache[s] + cache[w[-1]] if w[-1] in ".," else cache[s]
-        last, get = end.to_bytes(4, "little"), cache.__getitem__
-        found = [b"".join(map(get, w)) + last for w in words]
+        for i in missing:
+            found[i] = cache[words[i]]
         for w in [*marked, *(w for w in bare if len(w) > CACHE_LENGTH)]:
             cache.pop(w, None)
-        return found
+        last = end.to_bytes(4, "little")
+        return [b"".join(found[a:b]) + last for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> None:
