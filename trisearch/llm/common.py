@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 TASK_BYTES = 24 << 20
 #: Rows of a result batch that leave a Python worker together.
 BATCH_ROWS = 4096
+#: Bytes of an Arrow batch, and rows that the Parquet reader decodes together.
+BATCH_BYTES, READ_ROWS = 2 << 20, 512
 #: Bytes of text that a Python function takes from one batch at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -58,9 +60,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of the session, of Arrow and of the Parquet reader, hold a few MB of
+    long texts, so that those of an executor's tasks do not add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text); a null text is empty, and other columns, whatever
     their names, are left behind."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

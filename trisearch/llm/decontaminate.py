@@ -92,6 +92,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold:
     repeated items are kept apart by id; null ids stay null; an empty table gives an
     empty result; other columns are ignored.
     """
+    common.small_batches(docs.sparkSession)
     items = common.cut(_items(benchmark, words, radius))
     anchors = _anchors(items, threshold)
     few = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
