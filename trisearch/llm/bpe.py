@@ -113,23 +113,21 @@ class BpeCodec:
 
 
 def _map(docs: DataFrame, vocabulary: str, row, schema: str) -> DataFrame:
-    """row(codec, text) -> values of schema after doc_id, for each row."""
+    """doc_id and row(codec, text), values of schema, for each row of docs."""
+    import pyarrow as pa
+
     sent = common.send_file(docs.sparkSession, vocabulary)
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [pa.field(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
 
     def run(batches):
-        import pyarrow as pa
-
         codec = common.once(("bpe", sent.value[0]), lambda: BpeCodec(sent.value[1]))
-        types = out_schema
         for batch in batches:
             for part in common.chunks(batch):
-                made = [row(codec, t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t.type) for c, t in zip(zip(*made), types, strict=True))], names=["doc_id", *(t.name for t in types)])
-
-    import pyarrow as pa
+                made = zip(*(row(codec, t) for t in part.column(1).to_pylist()), strict=True)
+                columns = [pa.array(c, f.type) for c, f in zip(made, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *(f.name for f in fields)])
 
-    arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    out_schema = [pa.field(name, arrow[kind]) for name, kind in (x.split() for x in schema.split(", "))]
     return common.id_text(docs).mapInArrow(run, f"doc_id long, {schema}")
 
 
