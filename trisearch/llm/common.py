@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -105,6 +106,16 @@ def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES):
         at = to
 
 
+def release() -> None:
+    """Gives memory of dropped objects back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _loaded: dict = {}
 
 

@@ -4,7 +4,8 @@ Interpolated Kneser-Ney models of the characters of words, one of toxic and one
 of ordinary labelled texts. Long contexts have counts of their class; below them
 both back off to the same continuation counts, so that a rare expression is about
 as likely in either. A text's score is the difference of its log-likelihoods for
-each word, put on a scale from 0 to 1 by a logistic curve fitted across folds.
+each word and for the words that stand out, put on a scale from 0 to 1 by a
+logistic curve fitted across folds.
 """
 
 from __future__ import annotations
@@ -12,22 +13,24 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the training sample: labelled documents of each class, and bytes of
-#: whole texts of each class. The documents with the smallest hashes of their ids are taken.
-MAX_DOCS = 1500
-MAX_BYTES = 5 << 20
+#: Bounds of the training sample: labelled documents of each class, those with the
+#: smallest hashes of their ids, and words, those that most of these documents have.
+MAX_DOCS, MAX_WORDS = 8000, 100_000
 #: Characters of an n-gram; up to SHARED characters, counts are of both classes.
-ORDER, SHARED = 6, 2
+ORDER, SHARED = 10, 2
 DISCOUNT = 0.75
 FOLDS = 2
-PRIOR = 20
+#: Words of ratio 0 that are added to a text, and the ratio beyond which a word is more than noise.
+PRIOR, NOISE = 20, 2.5
+#: Ratios are cut at this.
+CLIP = 12.0
 #: Words of which a Python worker remembers the ratio; beyond, it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 CACHE_LENGTH = 64
 #: Characters around a word.
 BEGIN, END = "\x02", "\x03"
@@ -40,10 +43,9 @@ def words_of(text: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*", text.lower())
 
 
-def _grams(words: list[str]):
-    """For the characters of words, ends included, and n from 0 to ORDER: the
-    hash of the n characters that end there and how many of the word's there are.
-    Also which characters count, and where each word ends among those."""
+def _characters(words: list[str]):
+    """The characters of words, ends included, one after another; how many of its
+    word's there are up to each; which count, as all but BEGIN do; and where each word ends among those."""
     import numpy as np
 
     text = "".join([f"{BEGIN}{w}{END}" for w in words])
@@ -51,41 +53,61 @@ def _grams(words: list[str]):
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
     have = np.arange(len(codes)) - np.repeat(ends - sizes, sizes) + 1
-    hashes = [np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64)]
-    for n in range(1, ORDER + 1):
-        shifted = np.concatenate([np.zeros(n - 1, np.uint64), codes[: len(codes) - n + 1]])
-        x = (hashes[-1] ^ (shifted + np.uint64(n << 24))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes.append(x ^ (x >> np.uint64(29)))
-    return hashes, have, have > 1, np.cumsum(sizes - 1)
+    return codes, have, have > 1, np.cumsum(sizes - 1)
+
+
+def _hashes(codes):
+    """For n from 0 to ORDER + 1 the hash of the n characters that end at each place."""
+    import numpy as np
+
+    h = np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64)
+    for n in range(1, ORDER + 2):
+        yield h
+        shifted = np.concatenate([np.zeros(min(n - 1, len(codes)), np.uint64), codes[: max(len(codes) - n + 1, 0)]])
+        h = (h ^ (shifted + np.uint64(n << 24))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    yield h
 
 
 @dataclass
 class Ratio:
     """Log-likelihood ratios of words, toxic against ordinary.
 
-    grams[n] and contexts[n]: ascending hashes, and for each class what an
-    n-gram has of its own and what its context leaves to the shorter one.
+    grams[n]: the ascending hashes of the n-grams, and for each class what an n-gram has of
+    its own; rests[n]: what it leaves to shorter contexts where it is the context itself. The
+    last of rests[1] is that of BEGIN, which never follows anything.
     """
 
     grams: list
-    contexts: list
+    rests: list
     floor: float
 
     def words(self, words: list[str]):
         import numpy as np
 
-        hashes, have, counts, ends = _grams(words)
-        p = np.full((2, int(counts.sum())), self.floor)
-        before = [np.concatenate([h[:1], h[:-1]])[counts] for h in hashes]
-        have = have[counts]
-        for n in range(1, ORDER + 1):
-            (keys, own), (ctx, left) = self.grams[n], self.contexts[n]
-            at, of = hashes[n][counts], before[n - 1]
-            i, j = np.searchsorted(keys, at), np.searchsorted(ctx, of)
+        codes, have, counts, ends = _characters(words)
+        hashes = _hashes(codes)
+        next(hashes)
+        at = np.flatnonzero(counts)
+        p = np.full((2, len(at)), self.floor) * self.rests[0]
+        left, context = np.arange(len(at)), None
+        for n, h in zip(range(1, ORDER + 1), hashes):
+            if n > 1:
+                # A context that is not known leaves none longer that is.
+                left = left[have[at[left]] >= n]
+                of = context[at[left] - 1]
+                left, of = left[of >= 0], of[of >= 0]
+                p[:, left] *= self.rests[n - 1][:, of]
+            keys, own = self.grams[n]
+            gram = h[at[left]]
+            i = np.searchsorted(keys, gram)
             i[i == len(keys)] = 0
-            j[j == len(ctx)] = 0
-            known = (have >= n) & (ctx[j] == of)
-            p = np.where(known, np.where(keys[i] == at, own[:, i], 0) + left[:, j] * p, p)
+            known = keys[i] == gram
+            p[:, left[known]] += own[:, i[known]]
+            context = np.full(len(counts), -1)
+            context[at[left[known]]] = i[known]
+            if n == 1:
+                context[~counts] = len(keys)
         logs = np.concatenate([[0], np.cumsum(np.log(p[1]) - np.log(p[0]))])
         return logs[ends] - logs[np.concatenate([[0], ends[:-1]])]
 
@@ -94,22 +116,25 @@ def fit_ratio(words: list[str], uses) -> Ratio:
     """The two models of words, of which uses has the numbers in ordinary and in toxic texts."""
     import numpy as np
 
-    hashes, have, counts, ends = _grams(words)
+    codes, have, counts, ends = _characters(words)
     sizes = np.diff(np.concatenate([[0], ends]))
     uses = np.repeat(np.asarray(uses, np.float32), sizes, axis=1)
     have, begun = have[counts], np.flatnonzero(counts) - 1
-    alphabet = len(np.unique(hashes[1])) + 1
-    before, here = lambda n: hashes[n][begun], lambda n: hashes[n][counts]
-    grams, contexts = [None], [None]
-    for n in range(1, ORDER + 1):
+    alphabet = len(np.unique(codes)) + 1
+    grams, rests = [None], []
+    hashes = _hashes(codes)
+    shorter, same = next(hashes), next(hashes)
+    for n, longer_ones in zip(range(1, ORDER + 1), hashes):
+        before, here, after = shorter[begun], same[counts], longer_ones[counts]
+        shorter, same = same, longer_ones
         inside = have >= n
-        keys, first, of = np.unique(here(n)[inside], return_index=True, return_inverse=True)
-        ctx, ctx_of = np.unique(before(n - 1)[inside][first], return_inverse=True)
+        keys, first, of = np.unique(here[inside], return_index=True, return_inverse=True)
+        ctx, ctx_of = np.unique(before[inside][first], return_inverse=True)
         a = np.array([np.bincount(of, u[inside], len(keys)) for u in uses])
         if n < ORDER:  # continuation counts, but of n-grams that begin a word their own
             longer = np.flatnonzero(have > n)
-            distinct, one, whose = np.unique(here(n + 1)[longer], return_index=True, return_inverse=True)
-            ends_in = np.searchsorted(keys, here(n)[longer[one]])
+            distinct, one, whose = np.unique(after[longer], return_index=True, return_inverse=True)
+            ends_in = np.searchsorted(keys, here[longer[one]])
             begins = np.bincount(of, have[inside] > n, len(keys)) == 0
             kinds = np.array([np.bincount(ends_in, np.bincount(whose, u[longer], len(distinct)) > 0, len(keys)) for u in uses])
             a = np.where(begins, a, kinds)
@@ -121,8 +146,19 @@ def fit_ratio(words: list[str], uses) -> Ratio:
         own = np.maximum(a - DISCOUNT, 0) / safe[:, ctx_of]
         left = np.where(total > 0, DISCOUNT * kinds / safe, 1.0)
         grams.append((keys, own.astype(np.float32)))
-        contexts.append((ctx, left.astype(np.float32)))
-    return Ratio(grams, contexts, 1 / alphabet)
+        if n == 1:
+            rests.append(left)
+        else:
+            below = grams[n - 1][0]
+            rest = np.ones((2, len(below) + (n == 2)), np.float32)
+            place = np.searchsorted(below, ctx)
+            place[place == len(below)] = 0
+            inner = below[place] == ctx
+            rest[:, place[inner]] = left[:, inner]
+            if n == 2:  # what is left is BEGIN
+                rest[:, -1:] = left[:, ~inner]
+            rests.append(rest)
+    return Ratio(grams, rests, 1 / alphabet)
 
 
 def fit_logistic(x, y, steps: int = 40, ridge: float = 1e-3):
@@ -146,86 +182,105 @@ class Words:
         self.ratio, self.cache = ratio, {}
 
     def features(self, lists: list[list[str]]):
-        """For each list of words the mean of their ratios, 0 for no words. A word
-        that comes n times counts 1 + log n times, and PRIOR words of ratio 0 are
-        added, as short and repetitive texts say less than their mean does."""
+        """For each list of words three comparisons of its likelihoods, each normalised by length:
+
+        the mean of the words' ratios; what ratios have beyond NOISE, added up, by the
+        root of the number of words, with which the noise of a sum grows; and the mean of the two
+        largest. A word that comes n times counts 1 + log n times in the mean and once elsewhere.
+        """
         import numpy as np
 
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
         new = [w for w in set().union(*lists) if w not in cache]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), 5_000):
+            some = new[at : at + 5_000]
             cache.update(zip(some, self.ratio.words(some).tolist(), strict=True))
-        kinds = [Counter(x) for x in lists]
-        at = np.cumsum([0, *map(len, kinds)])
-        ratios = np.fromiter((cache[w] for c in kinds for w in c), float, at[-1])
-        weights = 1 + np.log(np.fromiter((n for c in kinds for n in c.values()), float, at[-1]))
-        sums = np.array([np.concatenate([[0], np.cumsum(x)]) for x in (ratios * weights, weights)])
-        above, below = sums[:, at[1:]] - sums[:, at[:-1]]
-        means = (above / (below + PRIOR))[:, None]
+        rows = np.zeros((len(lists), 3))
+        for i, words in enumerate(lists):
+            if words:
+                counts = Counter(words)
+                r = np.minimum(np.fromiter(map(cache.__getitem__, counts), float, len(counts)), CLIP)
+                weights = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+                top = np.partition(r, -2)[-2:] if len(r) > 1 else r
+                rows[i] = (r * weights).sum() / (weights.sum() + PRIOR), np.maximum(r - NOISE, 0).sum() / (len(r) + PRIOR) ** 0.5, top.sum() / 2
         for w in new:
             if len(w) > CACHE_LENGTH:
                 del cache[w]
-        return means
-
-
-def _means(ratios, uses):
-    """Means of ratios of words, for rows of a sparse matrix of uses: (row, word, n) arrays and the number of rows."""
-    import numpy as np
-
-    row, word, n, rows = uses
-    weight = 1 + np.log(n)
-    return (np.bincount(row, weight * ratios[word], rows) / (np.bincount(row, weight, rows) + PRIOR))[:, None]
+        return rows
 
 
 class Classifier:
     """score(): 0 to 1 for lists of words."""
 
-    def __init__(self, texts, toxic: list[int], share: float):
-        """texts: lists of words, or an iterable of such; share: of toxic ones
-        among all labelled texts, which the sample need not have."""
-        import numpy as np
-
-        words: dict[str, int] = {}
-        row, word, n = [], [], []
-        for i, x in enumerate(texts):
-            c = Counter(x)
-            row.append(np.full(len(c), i))
-            word.append(np.fromiter((words.setdefault(w, len(words)) for w in c), np.int32, len(c)))
-            n.append(np.fromiter(c.values(), np.int32, len(c)))
-        y = np.array(toxic, float)
-        self.ratio, self.curve, self.shift, self.share = None, None, 0.0, share
-        if not 0 < y.sum() < len(y) or not words:
-            return
-        words, row, word, n = list(words), *(np.concatenate(x) for x in (row, word, n))
-
-        def fitted(some):
-            counts = np.array([np.bincount(word[m], n[m], len(words)) for m in (some & (y[row] == 0), some & (y[row] == 1))])
-            return fit_ratio(words, counts)
-
-        x = np.zeros((len(y), 1))
-        for k in range(FOLDS):
-            outside = row % FOLDS == k
-            ratios = fitted(~outside).words(words)
-            x[k::FOLDS] = _means(ratios, (row[outside] // FOLDS, word[outside], n[outside], len(x[k::FOLDS])))
-        self.ratio = fitted(np.ones(len(row), bool))
-        self.curve = fit_logistic(x, y)
-        have = y.mean()
-        self.shift = float(np.log(share / (1 - share)) - np.log(have / (1 - have)))
+    def __init__(self, ratio: Ratio | None, curve: tuple | None, shift: float, share: float):
+        """share: of toxic ones among all labelled texts; shift: what the sample's share differs from it by, as logits."""
+        self.ratio, self.curve, self.shift, self.share = ratio, curve, shift, share
 
-    def score(self, lists: list[list[str]]):
+    def scorer(self):
+        """A function from lists of words to their scores, which remembers words as long as it is kept."""
         import numpy as np
 
         if self.ratio is None:
-            return np.full(len(lists), float(self.share))
-        if not hasattr(self, "words"):
-            self.words = Words(self.ratio)
+            return lambda lists: np.full(len(lists), float(self.share))
+        words = Words(self.ratio)
         mean, scale, w = self.curve
-        z = (self.words.features(lists) - mean) / scale
-        p = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1] + self.shift, -30, 30)))
-        return np.where([not x for x in lists], self.share, p)
+
+        def score(lists: list[list[str]]):
+            z = (words.features(lists) - mean) / scale
+            p = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1] + self.shift, -30, 30)))
+            return np.where([not x for x in lists], self.share, p)
+
+        return score
+
+    def score(self, lists: list[list[str]]):
+        return self.scorer()(lists)
+
+
+def _counts(found: DataFrame) -> DataFrame:
+    """(word, n0, n1, ..., docs): uses of each word by fold and label (n of 2 * fold + label) in found (toxic, fold, text)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts, docs = [Counter() for _ in range(2 * FOLDS)], Counter()
+        for batch in batches:
+            for part in common.chunks(batch, limit=1 << 20):
+                for toxic, fold, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = Counter(w for w in words_of(text) if len(w) <= CACHE_LENGTH)
+                    counts[2 * fold + toxic].update(words)
+                    docs.update(words.keys())
+        words = list(docs)
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
+            columns = [pa.array(some, pa.string()), *(pa.array([c[w] for w in some], pa.int64()) for c in (*counts, docs))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["word", *(f"n{i}" for i in range(2 * FOLDS)), "docs"]
+    made = found.select("toxic", "fold", "text").mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in names[1:]))
+    return made.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:]))
+
+
+def _features(found: DataFrame, ratios: list[Ratio]):
+    """(features, labels) of the sample's documents, each by the model that has not seen its fold."""
+    import numpy as np
+
+    sent = found.sparkSession.sparkContext.broadcast(ratios)  # bounded as the sample is
+
+    def run(batches):
+        import pyarrow as pa
+
+        models = [Words(r) for r in sent.value]
+        for batch in batches:
+            for part in common.chunks(batch, limit=1 << 20):
+                toxic, fold, texts = (c.to_pylist() for c in part.columns)
+                x = np.array([models[k].features([words_of(t)])[0] for k, t in zip(fold, texts, strict=True)]).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, x.T.copy()), pa.array(toxic, pa.int32())], names=["x0", "x1", "x2", "toxic"])
+
+    # Three numbers and a label for each document of the sample.
+    rows = found.select("toxic", "fold", "text").mapInArrow(run, "x0 double, x1 double, x2 double, toxic int").toArrow()
+    return np.column_stack([rows.column(f"x{i}").to_numpy() for i in range(3)]), rows.column("toxic").to_numpy().astype(float)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, folds: int = 4) -> Classifier:
@@ -233,26 +288,40 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, fol
 
     Rows of one document with several labels count as toxic if one says so.
     Null labels and ids are left out, and ids whose crc32 modulo folds is
-    held_out_fold. The sample is bounded by MAX_DOCS and MAX_BYTES for each class.
+    held_out_fold. The sample is bounded, see MAX_DOCS, its texts are read whole.
     Without both classes every score is the share of toxic labels, 0 without labels.
     """
+    import numpy as np
+
+    spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     if held_out_fold is not None:
         usable = usable.where(F.pmod(common.crc_of_id(F.col("doc_id")), F.lit(folds)) != held_out_fold)
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.xxhash64("doc_id").alias("h"))
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     n = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     share = n.get(1, 0) / max(sum(n.values()), 1)
+    none = Classifier(None, None, 0.0, share)
+    if not 0 < share < 1:
+        return none
     picked = [r for label in (0, 1) for r in usable.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(MAX_DOCS).collect()]
-    spark = docs.sparkSession
-    sample = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in picked], "doc_id long, toxic int, h long")
+    sample = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"] % FOLDS) for r in picked], "doc_id long, toxic int, fold int")
     # At most 2 * MAX_DOCS rows.
     found = common.id_text(docs).join(F.broadcast(sample), "doc_id")
-    order = Window.partitionBy("toxic").orderBy("h", "doc_id", "size")
-    sizes = found.select("doc_id", "toxic", "h", F.octet_length("text").alias("size")).withColumn("total", F.sum("size").over(order)).where(F.col("total") <= MAX_BYTES)
-    within = sizes.select("doc_id").distinct().collect()
-    keep = spark.createDataFrame([(r[0],) for r in within], "doc_id long")
-    rows = sorted(found.join(F.broadcast(keep), "doc_id").select("h", "doc_id", "toxic", "text").collect())
-    return Classifier((words_of(r["text"]) for r in rows), [r["toxic"] for r in rows], share)
+    table = _counts(found).orderBy(F.desc("docs"), F.xxhash64("word"), "word").limit(MAX_WORDS).toArrow()
+    words = table.column("word").to_pylist()
+    uses = np.array([table.column(f"n{i}").to_numpy() for i in range(2 * FOLDS)]).reshape(FOLDS, 2, -1)
+    if not words or not (uses.sum((0, 2)) > 0).all():
+        return none
+    del table
+    x, y = _features(found, [fit_ratio(words, uses.sum(0) - uses[k]) for k in range(FOLDS)])
+    if not 0 < y.sum() < len(y):
+        return none
+    have = y.mean()
+    shift = float(np.log(share / (1 - share)) - np.log(have / (1 - have)))
+    made = Classifier(fit_ratio(words, uses.sum(0)), fit_logistic(x, y), shift, share)
+    del words, uses
+    common.release()
+    return made
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -264,9 +333,10 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        score = sent.value.scorer()
         for batch in batches:
-            for part in common.chunks(batch):
-                scores = sent.value.score([words_of(t) for t in part.column(1).to_pylist()])
+            for part in common.chunks(batch, limit=1 << 20):
+                scores = score([words_of(t) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return common.id_text(docs).mapInArrow(run, "doc_id long, score double")
@@ -279,9 +349,11 @@ def keep_ordinary(docs: DataFrame, classifier: Classifier, threshold: float = 0.
     def run(batches):
         import pyarrow as pa
 
+        score = sent.value.scorer()
         for batch in batches:
-            for part in common.chunks(batch):
+            for part in common.chunks(batch, limit=1 << 20):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                yield part.filter(pa.array(sent.value.score([words_of(t or "") for t in texts]) < threshold))
+                yield part.filter(pa.array(score([words_of(t or "") for t in texts]) < threshold))
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
