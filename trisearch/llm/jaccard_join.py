@@ -140,9 +140,11 @@ def boundary_by_cost(counts, level, percent: int = PERCENT) -> int:
     second moment of the counters, less what unlike shingles in a counter add."""
     import numpy as np
 
-    rare = counts[level == 0].astype(float)
-    total = rare.sum()
-    length = 1 + max(0.0, (rare**2).sum() - total**2 / max(len(rare), 1)) / max(total, 1)
+    n = total = squares = 0
+    for at in range(0, len(counts), 1 << 16):
+        rare = counts[at : at + (1 << 16)][level[at : at + (1 << 16)] == 0].astype(float)
+        n, total, squares = n + len(rare), total + rare.sum(), squares + (rare**2).sum()
+    length = 1 + max(0.0, squares - total**2 / max(n, 1)) / max(total, 1)
     size = 3
     while size < 200 and (size + 1 - needed(size + 1, percent) + 2) / 2 <= length:
         size += 1
@@ -202,7 +204,10 @@ def _levels(scanned: DataFrame, percent: int, bits: int):
     counts = counts.ravel()
     # Level 0 for what chance brings together; then two levels for each doubling.
     mean = counts.mean()
-    level = np.maximum(0, np.floor(2 * np.log2(np.maximum(counts, 1) / max(mean + 4 * mean**0.5, 2))) + 1).astype(np.int8)
+    steps = max(mean + 4 * mean**0.5, 2) * 2.0 ** (np.arange(64) / 2)
+    level = np.zeros(len(counts), np.int8)
+    for at in range(0, len(counts), 1 << 16):
+        level[at : at + (1 << 16)] = np.searchsorted(steps, counts[at : at + (1 << 16)], "right")
     return level, boundary_by_cost(counts, level, percent)
 
 
