@@ -6,9 +6,10 @@ one block more than the radius has bits, so any two within the radius are equal
 some block; those that meet in a block and are within the radius are candidates,
 and the weighted Jaccard similarity of their shingles, which is exact, decides.
 
-A window without any shingle of an item has similarity 0 to it, so windows are
-taken where a document's shingle is an item's: the window puts that shingle where the
-item has it. Only these shingles are joined, and of the others nothing is shuffled.
+The windows of a length start at every word. To be at least as similar to an item as
+asked, a window must hold a number of shingles that items of its length have, and
+only windows that hold so many are fingerprinted; this leaves out none that is similar.
+Only these shingles are joined, and of the others nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(words: Column, size: int) -> Column:
+def shingles(words: Column, size: int | Column) -> Column:
     """Hashes of the runs of size words, in order; of fewer words one hash of all; of none none."""
     n = F.size(words)
     many = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, size)))
@@ -39,13 +40,14 @@ def shingles(words: Column, size: int) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """The fingerprint: each bit is what most of the hashes, each as often as it comes, have there."""
-    count = lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.getbit(h, F.lit(b)).cast("int"))
-    ones = [count(b) for b in range(BITS)]
-    bit = lambda b: F.when(ones[b] * 2 > F.size(hashes), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    value = bit(0)
-    for b in range(1, BITS):
-        value = value.bitwiseOR(bit(b))
-    return value
+    half = BITS // 2
+    # Each sum counts two bits, one in each half of a long.
+    pair = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1 << half | 1)))
+    sums = F.array(*map(pair, range(half)))
+    most = lambda n: F.when(n * 2 > F.size(hashes), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    bits = F.transform(sums, lambda n: F.shiftleft(most(F.shiftrightunsigned(n, half)), half).bitwiseOR(most(n.bitwiseAND(F.lit((1 << half) - 1)))))
+    # The last sum's bits move furthest.
+    return F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda a, n: F.shiftleft(a, 1).bitwiseOR(n))
 
 
 def blocks(fingerprint: Column, radius: int) -> Column:
@@ -69,22 +71,34 @@ def _items(benchmark: DataFrame, words: int, radius: int) -> DataFrame:
     return items.withColumn("fingerprint", simhash(F.col("hashes")))
 
 
-def _anchors(items: DataFrame, threshold: float) -> DataFrame:
-    """(hash, size, at): of each item's shingles so many, evenly spread, that a
-    window that lacks them all is less similar than threshold; at is the place in the item."""
-    m = F.size("hashes")
-    # Windows have m shingles as the item has; they share at least 2 m t / (1 + t).
-    keep = m - F.ceil(2 * m * threshold / (1 + threshold) - 1e-9) + 1
-    spread = items.select("size", "hashes", m.alias("m"), keep.cast("int").alias("keep"))
-    places = F.explode(F.transform(F.sequence(F.lit(0), F.col("keep") - 1), lambda i: F.floor(i * F.col("m") / F.col("keep")).cast("int")))
-    return spread.withColumn("at", places).select("size", "at", F.element_at("hashes", F.col("at") + 1).alias("hash")).distinct()
+def _starts(places: Column, n: Column, size: Column, words: int, threshold: float) -> Column:
+    """Where windows of size words start in a text of n words that hold so many of
+    places (ascending) that they can be as similar as threshold; each start once."""
+    k, long = F.least(size, F.lit(words)), F.least(n, size)
+    held = long - k + 1
+    # With m and held shingles, two are t similar if they share t (m + held) / (1 + t).
+    need = F.greatest(F.ceil((size - k + 1 + held) * threshold / (1 + threshold) - 1e-9).cast("int"), F.lit(1))
+
+    def run(i):  # windows with the i-th place and the need - 1 after it, and without the one before
+        first = F.greatest(F.element_at(places, i + need - 1) - held + 1, F.when(i > 1, F.get(places, i - 2) + 1).otherwise(F.lit(0)), F.lit(0))
+        last = F.least(F.element_at(places, i), n - long)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    none = F.array().cast("array<int>")
+    runs = F.when(F.size(places) >= need, F.flatten(F.transform(F.sequence(F.lit(1), F.size(places) - need + 1), run))).otherwise(none)
+    # Windows that the text's end cuts short hold fewer shingles, of which more must be shared.
+    enough = lambda s: F.size(F.filter(places, lambda p: p >= s)) >= F.greatest((size - k + 1 + n - s - k + 1) * threshold / (1 + threshold) - 1e-9, F.lit(1))
+    last = n - k + 1 - F.ceil((size - k + 1) * threshold - 1e-9).cast("int")
+    short = F.when(last > n - long, F.filter(F.sequence(n - long + 1, last), enough)).otherwise(none)
+    return F.concat(runs, short)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, start) of each text of docs (doc_id,
     text) with a window that is as long as an item of benchmark (item_id, text) and
     whose weighted Jaccard similarity to it is at least threshold: the most similar
-    window, the first of equal ones, which starts at word start (from 0).
+    window, the first of equal ones, which starts at word start (from 0). A window may be
+    cut short by the text's end. Only what the fingerprints tell apart is missed (README).
 
     Items and texts that are null, empty or without words take part in nothing; an
     item of fewer words than a shingle must be found as a whole; repeated rows of one id and
@@ -94,25 +108,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold:
     """
     common.small_batches(docs.sparkSession)
     items = common.cut(_items(benchmark, words, radius))
-    anchors = _anchors(items, threshold)
+    known = items.select("size", F.explode("hashes").alias("hash")).distinct()
     few = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
     hint = F.broadcast if few <= BROADCAST_SHINGLES else lambda x: x
     # Runs of fewer words are needed only if items are that short.
     sizes = [r[0] for r in items.select(F.least("size", F.lit(words)).alias("k")).distinct().collect()]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    windows = None
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    split = texts.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
+    met = None
     for k in sizes:
-        whole = texts.select("doc_id", "text_hash", "words", F.posexplode(shingles(F.col("words"), k)).alias("pos", "hash"))
-        met = whole.join(hint(anchors.where(F.least("size", F.lit(words)) == k)), "hash")
-        start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-        some = met.select("doc_id", "text_hash", "size", start.alias("start"), F.slice("words", start + 1, F.col("size")).alias("window"))
-        windows = some if windows is None else windows.union(some)
-    if windows is None:
+        whole = split.where(F.size("words") >= k).select("doc_id", "text_hash", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), k)).alias("pos", "hash"))
+        some = whole.join(hint(known.where(F.least("size", F.lit(words)) == k)), "hash").select("doc_id", "text_hash", "n", "size", "pos")
+        met = some if met is None else met.union(some)
+    if met is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, similarity double, start int")
 
-    windows = windows.dropDuplicates(["doc_id", "text_hash", "size", "start"])
-    printed = windows.withColumn("found", shingles(F.col("window"), words)).withColumn("print", simhash(F.col("found"))).drop("window")
+    places = met.groupBy("doc_id", "text_hash", "size").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("pos")).alias("places"))
+    begun = places.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "size", _starts(F.col("places"), F.col("n"), F.col("size"), words, threshold).alias("starts"))
+    begun = common.cut(begun.where(F.size("starts") > 0))
+    again = texts.join(begun, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    k = F.least("size", F.lit(words))
+    again = again.select("doc_id", "text_hash", "size", "starts", words_of(F.col("text")).alias("words")).withColumn("all", shingles(F.col("words"), k))
+    # A window's shingles are a part of the text's.
+    windows = again.select("doc_id", "text_hash", "size", "all", F.explode("starts").alias("start"))
+    printed = windows.select("doc_id", "text_hash", "size", "start", F.slice("all", F.col("start") + 1, F.col("size") - k + 1).alias("found")).withColumn("print", simhash(F.col("found")))
     asked = printed.withColumn("b", F.explode(blocks(F.col("print"), radius))).select("*", "b.block", "b.value").drop("b")
     stood = items.select("item_id", "size", "hashes", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
     apart = F.col("print").bitwiseXOR(F.col("fingerprint"))
