@@ -312,15 +312,18 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", class_col: s
         logs = words.column("spelled").to_numpy().astype(float)
         new = np.flatnonzero(np.isnan(logs))  # words that training has not seen
         logs[new] = lattice.log10([keys[i] for i in new])
-        spell = 10.0 ** np.maximum(logs, -300) * (1 - END_SHARE)
+        # Natural logarithms: long words are far less likely than a double can hold.
+        spell = logs * np.log(10) + np.log(1 - END_SHARE)
         if END in place:
-            spell[place[END]] = END_SHARE
-        shared = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * v * spell) / n if n else spell
-        logs = np.zeros((classes, len(keys)))
-        for k in range(classes):
-            c_k = words.column(f"c{k}").to_numpy().astype(float)
-            p = (np.maximum(c_k - DISCOUNT, 0) + DISCOUNT * t_k[k] * (OTHERS * shared + (1 - OTHERS) * spell)) / n_k[k] if n_k[k] else shared
-            logs[k] = np.log10(np.maximum(p, 1e-320))
+            spell[place[END]] = np.log(END_SHARE)
+        with np.errstate(divide="ignore"):
+            shared = np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / n), np.log(DISCOUNT * v / n) + spell) if n else spell
+            logs = np.zeros((classes, len(keys)))
+            for k in range(classes):
+                c_k = words.column(f"c{k}").to_numpy().astype(float)
+                rest = np.logaddexp(np.log(OTHERS) + shared, np.log(1 - OTHERS) + spell)
+                p = np.logaddexp(np.log(np.maximum(c_k - DISCOUNT, 0) / n_k[k]), np.log(DISCOUNT * t_k[k] / n_k[k]) + rest) if n_k[k] else shared
+                logs[k] = p / np.log(10)
         prior = np.log10((np.array(d_k, float) + 1) / (sum(d_k) + classes))
         result = []
         ids, texts = documents.column("doc_id"), documents.column("text")
