@@ -1,12 +1,15 @@
 """Licence recognition by sentences, in DataFrame functions only.
 
-A text's sentences are normalised and looked up among known licence sentences;
-the sequence of their identifiers is matched against ordered rules. All of it
-happens within a row, so nothing is shuffled and no group can grow large.
+A text's sentences are normalised and looked up among known licence sentences,
+over line ends and comment marks too; the sequence of their identifiers is matched
+against ordered rules. All of it happens within a row, so nothing is shuffled and no
+group can grow large.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,20 +58,42 @@ RULES = [
 ]
 
 
-def normal(sentence: Column) -> Column:
-    """ASCII letters lowered; whatever is no ASCII letter or digit is one space; none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+#: Steps that make text with A-Z lowered ASCII words, one space between them, and breaks, in capitals: H where a
+#: sentence ends (. ! ? and white space, a blank line), S where one may end (a line end, a colon and white space).
+STEPS = [
+    (r"[.!?](?=[ \t\r\n])", "H"),
+    (r":(?=[ \t\r\n])", "C"),
+    (r"(?:\n|^)(?:[ \t]*@?(?:dnl|rem)(?=[ \t\r\n]))?", "N"),
+    (r"[^a-z0-9HCN]+", " "),
+    (r"(?: ?C)++ ?", "C"),
+    (r"[ C]?(?:N[ C]?N|N?[ C]?H)[ HCN]*+", "H"),
+    (r"[ C]?N[ C]?|C", "S"),
+    (r"^[ HS]*+", "H"),
+    (r"[ HS]*+$", "H"),
+]
+
 
+def broken(text: Column) -> Column:
+    """The words and breaks of a text, with a break at both ends."""
+    found = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    for step, by in STEPS:
+        found = F.regexp_replace(found, step, by)
+    return found
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences: lines, cut also after . ! ? and white space."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\r]+", "$1\n")
-    return F.filter(F.transform(F.split(cut, "\n"), normal), lambda s: s != "")
 
+def _broken(text: str) -> str:
+    found = text.translate(str.maketrans(UPPER, LOWER))
+    for step, by in STEPS:
+        found = re.sub(step, by, found)
+    return found
 
-def _normal(sentence: str) -> str:
-    import re
 
+def _pattern(sentence: str) -> str:
+    """Where a known sentence stands: it may be wrapped, and ends inside it are its own."""
+    return _broken(sentence).strip("HS").replace("S", " ").replace(" ", "[ S]").replace("H", "[ HS]")
+
+
+def _normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip()
 
 
@@ -76,6 +101,7 @@ def recognise(docs: DataFrame, known: dict[str, str] | None = None, rules: list
     """(doc_id, n_sentences, sentences, licenses, license) of each row of docs (doc_id, text) that holds a known sentence.
 
     sentences: the identifiers of the known sentences in order, joined by spaces.
+    A sentence may be wrapped over lines, with comment marks before them; a line alone is one, too.
     A rule fits if its identifiers come one right after another, with no unknown
     sentence between. licenses: the names of the rules that fit, in the rules'
     order, each once, joined by spaces; license: the first, null if none fits.
@@ -84,13 +110,20 @@ def recognise(docs: DataFrame, known: dict[str, str] | None = None, rules: list
     ignored. known and rules are small lists, written into the plan.
     """
     known, rules = SENTENCES if known is None else known, RULES if rules is None else rules
-    by_text = {_normal(s): k for k, s in reversed(known.items())}
-    texts, names = list(by_text), list(by_text.values())
+    by_text = {_normal(s): k for k, s in reversed(known.items()) if _normal(s)}
+    names = list(by_text.values())
     if any(" " in x or "|" in x for x in [*names, *(n for n, _ in rules)]):
         raise ValueError("identifiers and licence names hold no spaces or bars")
+    # The longest first: a notice may begin another.
+    patterns = sorted(((_pattern(known[k]), i) for i, k in enumerate(names)), key=lambda p: (-len(p[0]), p[1]))
     # Inner names that docs cannot clash with: only the two columns are read.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(sentences(F.col("text")), lambda s: F.array_position(F.array(*map(F.lit, texts)), s).cast("int")).alias("at"))
-    found = found.where(F.exists("at", lambda i: i > 0))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), broken(F.col("text")).alias("broken"))
+    found = found.where(F.col("broken").rlike("(?<=[HS])(?:" + "|".join(p for p, _ in patterns) + ")(?=[HS])") if patterns else F.lit(False))
+    marks = F.col("broken")
+    for p, i in patterns:
+        marks = F.regexp_replace(marks, f"(?<=[HS]){p}(?=[HS])", f"K{i + 1}")
+    at = F.transform(F.filter(F.split(marks, "[HS]"), lambda s: s != ""), lambda s: F.when(s.startswith("K"), F.substring(s, 2, 9).cast("int")).otherwise(F.lit(0)))
+    found = found.select("doc_id", at.alias("at"))
     name = lambda i: F.when(i > 0, F.element_at(F.array(*map(F.lit, names)), i)).otherwise(F.lit(""))
     found = found.withColumn("ids", F.transform("at", name))
     marked = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))
