@@ -174,8 +174,23 @@ def test_blocks_meet_within_the_radius(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "a long, b long")
-    met = F.arrays_overlap(decontaminate.blocks(F.col("a"), 20), decontaminate.blocks(F.col("b"), 20))
-    assert df.where(met).count() == 200
+    blocks, probes = decontaminate.blocks(F.col("a"), 20), decontaminate.probes(F.col("b"), 20)
+    assert df.where(F.arrays_overlap(blocks, probes)).count() == 200
+    # The first block in which they meet is one of those in which they do.
+    first = decontaminate.first_block(F.col("a").bitwiseXOR(F.col("b")), 20)
+    assert df.where(F.array_min(F.transform(F.array_intersect(blocks, probes), lambda x: x["block"])) == first).count() == 200
+
+
+def test_simhash_and_similarity(spark):
+    rnd = random.Random(3)
+    rows = [([rnd.getrandbits(64) - (1 << 63) for _ in range(n)], [rnd.randrange(9) for _ in range(m)], [rnd.randrange(9) for _ in range(k)]) for n, m, k in ((1, 4, 9), (2, 30, 7), (255, 1, 1), (256, 5, 40), (700, 60, 60))]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "h array<bigint>, x array<bigint>, y array<bigint>").select("h", F.sort_array("x").alias("x"), F.sort_array("y").alias("y"))
+    for r in df.select("h", "x", "y", decontaminate.simhash(F.col("h")).alias("s"), decontaminate.weighted_jaccard("x", "y").alias("j")).collect():
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
+        x, y = Counter(r.x), Counter(r.y)
+        assert r.s % (1 << 64) == bits and abs(r.j - sum((x & y).values()) / sum((x | y).values())) < 1e-12
 
 
 # Licences

@@ -61,6 +61,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after them where df has such a column, in whatever case."""
+    have, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        found.append(name)
+    return found
+
+
+def same_row(docs: DataFrame, keys: DataFrame, text_hash: Column) -> tuple[DataFrame, Column]:
+    """keys (doc_id, text_hash) under names that docs lacks, and the condition that joins docs with them."""
+    a, b = fresh(docs, "key_id", "key_hash")
+    return keys.toDF(a, b), F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (text_hash == F.col(b))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Batches of the session, of Arrow and of the Parquet reader, hold a few MB of
     long texts, so that those of an executor's tasks do not add up."""

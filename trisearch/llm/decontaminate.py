@@ -1,10 +1,10 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 Windows of a document that are as long as a benchmark item are fingerprinted by
-SimHash and looked up among the items' fingerprints. Fingerprints are cut into
-one block more than the radius has bits, so any two within the radius are equal in
-some block; those that meet in a block and are within the radius are candidates,
-and the weighted Jaccard similarity of their shingles, which is exact, decides.
+SimHash and looked up among the items' fingerprints. Fingerprints are cut into so few
+blocks that any two within the radius differ in at most two bits of some block; items
+stand under all values that near to their blocks. Those that meet and are within the radius are
+candidates, and the weighted Jaccard similarity of their shingles, which is exact, decides.
 
 The windows of a length start at every word. To be at least as similar to an item as
 asked, a window must hold a number of shingles that items of its length have, and
@@ -14,6 +14,8 @@ Only these shingles are joined, and of the others nothing is shuffled.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,13 @@ from . import common
 
 WORDS, THRESHOLD = 5, 0.8
 BITS, RADIUS = 64, 20
-#: Shingles of items that are broadcast (16 bytes each); with more, they are joined by a shuffle.
-BROADCAST_SHINGLES = 2_000_000
+#: Bits in which fingerprints may differ in the block in which they meet.
+FLIPS = 2
+#: Rows made of the items (shingles, or values of blocks), and stretches of windows, that are
+#: broadcast (up to 40 bytes each); with more, a shuffle joins them.
+BROADCAST_ROWS, BROADCAST_STRETCHES = 2_000_000, 1_000_000
+#: Windows of a stretch: next to each other, they share a copy of their words.
+STRETCH = 256
 
 
 def words_of(text: Column) -> Column:
@@ -40,34 +47,71 @@ def shingles(words: Column, size: int | Column) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """The fingerprint: each bit is what most of the hashes, each as often as it comes, have there."""
-    half = BITS // 2
-    # Each sum counts two bits, one in each half of a long.
-    pair = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1 << half | 1)))
-    sums = F.array(*map(pair, range(half)))
+    # Each sum counts some bits at a time, one in each field of a long; short lists need small fields.
+    return F.when(F.size(hashes) < 1 << 7, _majority(hashes, 8)).otherwise(_majority(hashes, 32))
+
+
+def _majority(hashes: Column, width: int) -> Column:
+    fields = range(0, BITS, width)
+    ones = F.lit(sum(1 << at for at in fields))
+    counted = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, b).bitwiseAND(ones))
+    sums = F.array(*map(counted, range(width)))
     most = lambda n: F.when(n * 2 > F.size(hashes), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    bits = F.transform(sums, lambda n: F.shiftleft(most(F.shiftrightunsigned(n, half)), half).bitwiseOR(most(n.bitwiseAND(F.lit((1 << half) - 1)))))
+
+    def bits(n):
+        found = F.lit(0).cast("long")
+        for at in fields:
+            found = found.bitwiseOR(F.shiftleft(most(F.shiftrightunsigned(n, at).bitwiseAND(F.lit((1 << width) - 1))), at))
+        return found
+
     # The last sum's bits move furthest.
-    return F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda a, n: F.shiftleft(a, 1).bitwiseOR(n))
+    return F.aggregate(F.reverse(F.transform(sums, bits)), F.lit(0).cast("long"), lambda a, n: F.shiftleft(a, 1).bitwiseOR(n))
+
+
+def parts(fingerprint: Column, radius: int) -> list[tuple[Column, int]]:
+    """(value, bits) of the blocks that cover all bits; at most FLIPS bits differ in
+    one of them at least if at most radius do in all."""
+    n = radius // (FLIPS + 1) + 1
+    edges = [BITS * i // n for i in range(n + 1)]
+    return [(F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)), hi - lo) for lo, hi in zip(edges, edges[1:])]
+
+
+def probes(fingerprint: Column, radius: int) -> Column:
+    """An array of (block, value): of every block all values that differ in at most FLIPS bits."""
+    flips = lambda bits: F.expr("array({}L)".format("L, ".join(str(sum(some)) for n in range(FLIPS + 1) for some in combinations([1 << i for i in range(bits)], n))))
+    near = lambda i, v, bits: F.transform(flips(bits), lambda f: F.struct(F.lit(i).alias("block"), v.bitwiseXOR(f).alias("value")))
+    return F.concat(*(near(i, v, bits) for i, (v, bits) in enumerate(parts(fingerprint, radius))))
 
 
 def blocks(fingerprint: Column, radius: int) -> Column:
-    """radius + 1 blocks (number, value) that cover all bits."""
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    part = lambda lo, hi: F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-    return F.array(*(F.struct(F.lit(i).alias("block"), part(lo, hi).alias("value")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))))
+    """An array of (block, value): every block as it is."""
+    return F.array(*(F.struct(F.lit(i).alias("block"), v.alias("value")) for i, (v, _) in enumerate(parts(fingerprint, radius))))
+
 
+def first_block(apart: Column, radius: int) -> Column:
+    """Of the blocks in which fingerprints meet, of which apart has the differing bits, the first."""
+    return F.coalesce(*(F.when(F.bit_count(v) <= FLIPS, i) for i, (v, _) in enumerate(parts(apart, radius))))
 
-def weighted_jaccard(x: Column, y: Column) -> Column:
-    """Sum of the smaller over sum of the larger numbers of each element."""
+
+def repeats(ordered: Column) -> Column:
+    """An ascending array without the first of each element's copies."""
+    return F.filter(ordered, lambda v, i: F.get(ordered, i - 1) == v)
+
+
+def weighted_jaccard(x: str, y: str) -> Column:
+    """Sum of the smaller over sum of the larger numbers of each element, of two columns of ascending arrays."""
+    x, y = F.col(x), F.col(y)
     times = lambda a, v: F.size(F.filter(a, lambda w: w == v))
-    shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, v: s + F.least(times(x, v), times(y, v)))
+    # Most elements come once; only the further copies are counted one by one.
+    more = F.aggregate(F.array_intersect(repeats(x), repeats(y)), F.lit(0), lambda s, v: s + F.least(times(x, v), times(y, v)) - 1)
+    shared = F.size(F.array_intersect(x, y)) + more
     return shared / (F.size(x) + F.size(y) - shared)
 
 
-def _items(benchmark: DataFrame, words: int, radius: int) -> DataFrame:
-    """(item_id, size, hashes, fingerprint) of the items that have words."""
+def _items(benchmark: DataFrame, words: int) -> DataFrame:
+    """(item_id, size, hashes, fingerprint) of the items that have words; hashes ascend."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = items.select("item_id", F.size("words").alias("size"), shingles(F.col("words"), words).alias("hashes")).dropDuplicates(["item_id", "hashes"])
+    items = items.select("item_id", F.size("words").alias("size"), F.sort_array(shingles(F.col("words"), words)).alias("hashes")).dropDuplicates(["item_id", "hashes"])
     return items.withColumn("fingerprint", simhash(F.col("hashes")))
 
 
@@ -93,6 +137,16 @@ def _starts(places: Column, n: Column, size: Column, words: int, threshold: floa
     return F.concat(runs, short)
 
 
+def _stretches(places: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(doc_id, text_hash, size, first, last): the windows to fingerprint, as runs of starts that follow
+    each other, of places (doc_id, text_hash, n, size, places)."""
+    starts = places.select("doc_id", "text_hash", "size", _starts(F.col("places"), F.col("n"), F.col("size"), words, threshold).alias("starts"))
+    begins = F.filter("starts", lambda s, i: (i == 0) | (F.get("starts", i - 1) != s - 1) | (s % STRETCH == 0))
+    ends = F.filter("starts", lambda s, i: (F.coalesce(F.get("starts", i + 1), F.lit(-1)) != s + 1) | ((s + 1) % STRETCH == 0))
+    runs = starts.select("doc_id", "text_hash", "size", begins.alias("begins"), ends.alias("ends"))
+    return runs.select("doc_id", "text_hash", "size", F.explode(F.arrays_zip("begins", "ends")).alias("run")).select("doc_id", "text_hash", "size", F.col("run.begins").alias("first"), F.col("run.ends").alias("last"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, start) of each text of docs (doc_id,
     text) with a window that is as long as an item of benchmark (item_id, text) and
@@ -107,45 +161,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold:
     empty result; other columns are ignored.
     """
     common.small_batches(docs.sparkSession)
-    items = common.cut(_items(benchmark, words, radius))
+    items = common.cut(_items(benchmark, words))
     known = items.select("size", F.explode("hashes").alias("hash")).distinct()
-    few = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    hint = F.broadcast if few <= BROADCAST_SHINGLES else lambda x: x
     # Runs of fewer words are needed only if items are that short.
-    sizes = [r[0] for r in items.select(F.least("size", F.lit(words)).alias("k")).distinct().collect()]
+    facts = items.agg(F.coalesce(F.sum(F.size("hashes").cast("long")), F.lit(0)), F.count("*"), F.collect_set(F.least("size", F.lit(words)))).first()
+    if not facts[1]:
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, similarity double, start int")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     split = texts.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
     met = None
-    for k in sizes:
+    for k in facts[2]:
         whole = split.where(F.size("words") >= k).select("doc_id", "text_hash", F.size("words").alias("n"), F.posexplode(shingles(F.col("words"), k)).alias("pos", "hash"))
-        some = whole.join(hint(known.where(F.least("size", F.lit(words)) == k)), "hash").select("doc_id", "text_hash", "n", "size", "pos")
+        some = whole.join(_sent(known.where(F.least("size", F.lit(words)) == k), facts[0]), "hash").select("doc_id", "text_hash", "n", "size", "pos")
         met = some if met is None else met.union(some)
-    if met is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, similarity double, start int")
 
     places = met.groupBy("doc_id", "text_hash", "size").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("pos")).alias("places"))
-    begun = places.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "size", _starts(F.col("places"), F.col("n"), F.col("size"), words, threshold).alias("starts"))
-    begun = common.cut(begun.where(F.size("starts") > 0))
-    again = texts.join(begun, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    runs = common.cut(_stretches(places, words, threshold))
+    wanted = runs.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("size", "first", "last")).alias("runs"))
+    again = texts.join(_sent(wanted, runs.count(), BROADCAST_STRETCHES), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    again = again.select("doc_id", "text_hash", "runs", words_of(F.col("text")).alias("words"))
+    part = lambda r: F.struct(r["size"].alias("size"), r["first"].alias("first"), (r["last"] - r["first"]).alias("more"), F.slice("words", r["first"] + 1, r["last"] - r["first"] + r["size"]).alias("part"))
+    cuts = again.select("doc_id", "text_hash", F.explode(F.transform("runs", part)).alias("r")).select("doc_id", "text_hash", "r.*")
     k = F.least("size", F.lit(words))
-    again = again.select("doc_id", "text_hash", "size", "starts", words_of(F.col("text")).alias("words")).withColumn("all", shingles(F.col("words"), k))
-    # A window's shingles are a part of the text's.
-    windows = again.select("doc_id", "text_hash", "size", "all", F.explode("starts").alias("start"))
-    printed = windows.select("doc_id", "text_hash", "size", "start", F.slice("all", F.col("start") + 1, F.col("size") - k + 1).alias("found")).withColumn("print", simhash(F.col("found")))
-    asked = printed.withColumn("b", F.explode(blocks(F.col("print"), radius))).select("*", "b.block", "b.value").drop("b")
-    stood = items.select("item_id", "size", "hashes", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
+    cuts = cuts.select("doc_id", "text_hash", "size", "first", "more", shingles(F.col("part"), k).alias("hashes"))
+    one = lambda j: F.struct((F.col("first") + j).alias("start"), F.slice("hashes", j + 1, F.col("size") - k + 1).alias("found"))
+    windows = cuts.select("doc_id", "text_hash", "size", F.explode(F.transform(F.sequence(F.lit(0), "more"), one)).alias("w")).select("doc_id", "text_hash", "size", "w.start", F.sort_array("w.found").alias("found"))
+    printed = windows.withColumn("print", simhash(F.col("found")))
+    asked = printed.select("*", F.explode(blocks(F.col("print"), radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
+    stood = items.select("item_id", "size", "fingerprint", F.explode(probes(F.col("fingerprint"), radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
     apart = F.col("print").bitwiseXOR(F.col("fingerprint"))
-    # Of the blocks in which two fingerprints meet, the first.
-    earlier = F.exists(F.slice(blocks(apart, radius), 1, F.col("block")), lambda b: b["value"] == 0)
-    near = asked.join(hint(stood), ["size", "block", "value"]).where(F.bit_count(apart) <= radius).where(~earlier)
-    scored = near.withColumn("similarity", weighted_jaccard(F.col("found"), F.col("hashes"))).where(F.col("similarity") >= threshold)
+    near = asked.join(_sent(stood, facts[1] * 500), ["size", "block", "value"]).where((F.bit_count(apart) <= radius) & (first_block(apart, radius) == F.col("block")))
+    same = F.col("item_id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("s")) & (F.col("fingerprint") == F.col("f"))
+    near = near.join(_sent(items.select(F.col("item_id").alias("i"), F.col("size").alias("s"), F.col("fingerprint").alias("f"), "hashes"), facts[0]), same)
+    scored = near.select("doc_id", "text_hash", "item_id", "start", weighted_jaccard("found", "hashes").alias("similarity")).where(F.col("similarity") >= threshold)
     best = F.max_by("start", F.struct("similarity", -F.col("start")))
     return scored.groupBy("doc_id", "text_hash", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("start"))
 
 
+def _sent(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in whose text nothing leaks."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_hash"))
-    return docs.join(found, same, "left_anti")
+    found = leaks(docs, benchmark).select("doc_id", "text_hash").distinct()
+    return docs.join(*common.same_row(docs, found, F.xxhash64("text")), "left_anti")
