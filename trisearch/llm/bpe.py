@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,37 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def stand_ins() -> dict[int, str]:
+    """For characters that the regex package takes for letters or numbers and the library,
+    which knows an older Unicode, does not, or not for the same: one that both take for what the library does."""
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    some = "".join(regex.findall(r"[\p{L}\p{N}]", every))
+
+    def taken(kind: str) -> set[str]:
+        return {c for part, _ in pre_tokenizers.Split(Regex(rf"[^{kind}]+"), "removed").pre_tokenize_str(some) for c in part}
+
+    found = {}
+    for kind, like in ((r"\p{L}", "ж"), (r"\p{N}", "²")):
+        here = taken(kind)
+        found |= {ord(c): like for c in here.difference(regex.findall(kind, some))}
+        found |= {ord(c): "§" for c in set(regex.findall(kind, some)) - here if ord(c) not in found}
+    return found
+
+
+def _one_of(codes) -> re.Pattern:
+    """Finds one of some characters."""
+    codes, ranges = sorted(codes), []
+    for c in codes:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]" if ranges else r"(?!)")
+
+
 class BpeCodec:
     """Encodes and decodes with a byte-level BPE vocabulary file (JSON)."""
 
@@ -59,6 +91,8 @@ class BpeCodec:
             self.strings[i] = token.encode()
         self.words = regex.compile(PATTERN)
         self.parts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.other = stand_ins()
+        self.odd = _one_of(self.other)
         self.cache: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
@@ -88,9 +122,15 @@ class BpeCodec:
         ids = self.merge([first[b] for b in word.encode()])
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
+    def split(self, text: str) -> list[str]:
+        """The words of the pre-tokeniser."""
+        if text.isascii() or not self.odd.search(text):
+            return self.words.findall(text)
+        return [text[slice(*m.span())] for m in self.words.finditer(text.translate(self.other))]
+
     def plain(self, text: str) -> bytes:
         cache, out = self.cache, []
-        for w in self.words.findall(text):
+        for w in self.split(text):
             ids = cache.get(w)
             if ids is None:
                 ids = self.word(w)

@@ -16,6 +16,9 @@ from .bpe import PATTERN
 
 #: Sections of a text: its lines without line ends; empty lines are none.
 LINES = r"[^\n]+"
+#: White space from so many characters on is encoded apart: to step back from its end,
+#: as the pattern asks, the library needs a stack that grows with it.
+BLANK = 2048
 
 
 class SpanEncoder:
@@ -23,20 +26,34 @@ class SpanEncoder:
 
     def __init__(self, data: bytes):
         import numpy as np
+        import regex
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         self.encoding = tiktoken.Encoding("spans", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.blank = tiktoken.Encoding("blank", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
+        self.long = regex.compile(rf"\s{{{BLANK},}}+")
         self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.bytes[i] = len(token)
 
+    def ids(self, text: str) -> list[int]:
+        """As encode_ordinary() of the library gives them."""
+        found, at = [], 0
+        for m in self.long.finditer(text):
+            # The last character of white space goes with the word after it.
+            end = m.end() - (m.end() < len(text))
+            found += self.encoding.encode_ordinary(text[at : m.start()])
+            found += self.blank.encode_ordinary(text[m.start() : end])
+            at = end
+        return found + self.encoding.encode_ordinary(text[at:])
+
     def spans(self, text: str):
         """(start, end) of each token in characters; a token of a part of a
         character covers that character."""
         import numpy as np
 
-        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        ids = np.array(self.ids(text), np.int64)
         ends = np.cumsum(self.bytes[ids])
         starts = ends - self.bytes[ids]
         data = np.frombuffer(text.encode(), np.uint8)
