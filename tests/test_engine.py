@@ -41,7 +41,7 @@ def test_walk_and_read(spark, folder, rows):
     assert "a b+ü.txt" in {r["path"] for r in corpora.from_dir(spark, str(folder)).collect()}
 
 
-def test_index_and_search(spark, folder, rows, monkeypatch):
+def test_index_and_search(spark, folder, rows):
     engine = Engine.open_local(spark, str(folder)).with_config(Config(quiet=True))
     with pytest.raises(IndexFailure):
         indexes.open_index(spark, engine.index_path)
@@ -49,8 +49,6 @@ def test_index_and_search(spark, folder, rows, monkeypatch):
     assert index.meta["file_count"] == 3 and engine.status().kind in ("fresh", "needs_full_build")
     assert [r[0] for r in rows(engine.search("handle_auth"))] == ["src/lib.py", "src/main.rs"]
     assert rows(engine.search("handle_\\w+\\(", SearchOptions(regex=True, file_type="rust"))) == [("src/main.rs", 2, "    handle_auth();")]
-    monkeypatch.setattr("trisearch.engine.SCAN_BYTES", 0)
-    assert [r[0] for r in rows(engine.search("handle_auth"))] == ["src/lib.py", "src/main.rs"]
     assert rows(engine.search("absent_word")) == []
     assert [r[0] for r in rows(engine.find_files("*.rs"))] == ["src/main.rs"]
     with pytest.raises(InvalidPattern):
@@ -196,3 +194,134 @@ def test_stream(spark, tmp_path, rows):
     assert [r[0] for r in rows(index_stream.postings(spark, target))] == ["a", "d"]
     index_stream.compact(spark, target, str(tmp_path / "one"))
     assert spark.read.parquet(str(tmp_path / "one")).count() == 2
+
+
+def opened(df):
+    """The files that a plan's scans of whole files open, and whether contents are shuffled."""
+    plan = df._jdf.queryExecution()
+    return set(df.inputFiles()), plan.executedPlan().toString()
+
+
+def test_only_candidates_are_opened(spark, folder, rows):
+    engine = Engine.open_local(spark, str(folder)).with_config(Config(quiet=True))
+    engine.build_index()
+    found = engine.search("nothing")
+    files, plan = opened(found)
+    assert {f.rsplit("/", 1)[1] for f in files if ".parquet" not in f} == {"README.md"}
+    assert rows(found) == [("README.md", 1, "nothing here")]
+    (folder / "README.md").unlink()
+    assert rows(engine.search("nothing")) == []
+    (folder / "a [b] {c}*?.md").write_text("odd thing")
+    engine.build_index()
+    assert rows(engine.search("odd")) == [("a [b] {c}*?.md", 1, "odd thing")]
+
+
+def test_results_do_not_depend_on_how_files_are_read(spark, folder, tmp_path, rows, monkeypatch):
+    engine = Engine.open_local(spark, str(folder)).with_config(Config(quiet=True))
+    engine.build_index()
+    table = Engine.from_table(corpora.from_dir(spark, str(folder)).cache(), str(tmp_path / "i")).with_config(Config(quiet=True))
+    table.build_index()
+    (folder / "later.py").write_text("handle_auth")
+    newer = Engine.from_table(corpora.from_dir(spark, str(folder)), str(tmp_path / "i")).with_config(Config(quiet=True))
+    expected = rows(engine.search("handle_auth"))
+    assert [r[0] for r in expected] == ["src/lib.py", "src/main.rs"] and rows(table.search("handle_auth")) == rows(newer.search("handle_auth")) == expected
+    monkeypatch.setattr(corpora, "PUSHED", 0)
+    assert rows(newer.search("handle_auth")) == expected
+    monkeypatch.setattr(corpora, "LISTED", 0)
+    monkeypatch.setattr(corpora, "BROADCAST", 0)
+    assert rows(engine.search("handle_auth")) == rows(newer.search("handle_auth")) == expected
+
+
+def test_two_bytes_are_looked_up(spark, tmp_path, rows):
+    items = [("a", "xyab"), ("b", "ab"), ("c", "abc"), ("d", "a b"), ("e", "ba"), ("f", "éa\nb"), ("g", "AB")]
+    engine = Engine.from_table(spark.createDataFrame(items, "path string, content string"), str(tmp_path / "i")).with_config(Config(quiet=True))
+    index = engine.build_index()
+    from trisearch.plans import trigrams
+
+    left = lambda q: [r[0] for r in rows(engine.candidates(index, q))]
+    assert left(trigrams.literal("ab")) == ["a", "b", "c"] and left(trigrams.literal("aB", True)) == ["a", "b", "c", "g"] and left(trigrams.literal("é")) == ["f"]
+    assert [r[0] for r in rows(engine.search("ab"))] == ["a", "b", "c"] and rows(engine.search("zq")) == []
+    plan = index.postings.where("g between 6382080 and 6382335")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(g" in plan
+
+
+def test_builds_do_not_shuffle_contents_and_keep_old_versions(spark, tmp_path, rows, monkeypatch):
+    items = [(f"p{i}", f"text number {i}") for i in range(50)]
+    path = str(tmp_path / "i")
+    made = indexes._read(corpora.from_table(spark.createDataFrame(items, "path string, content string")))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    engine = Engine.from_table(spark.createDataFrame(items, "path string, content string"), path)
+    first = engine.build_index()
+    held = first.files
+    assert sorted(r[0] for r in rows(first.files.select("file_id"))) == list(range(50))
+    second = Engine.from_table(spark.createDataFrame([*items[:40], ("p60", "more")], "path string, content string"), path).build_index()
+    assert held.count() == 50 and (second.meta["file_count"], second.meta["kept_files"], second.meta["read_files"]) == (41, 40, 1)
+    monkeypatch.setattr(indexes, "KEEP_SECONDS", -1)
+    third = engine.build_index()
+    assert [p.name for p in (tmp_path / "i").glob("v-*")] == [third.path.rsplit("/", 1)[1]] and third.meta["build"] == 3
+
+
+def test_limits_are_errors(spark, tmp_path, monkeypatch):
+    engine = Engine.from_table(spark.createDataFrame([("a", "abcdef"), ("b", "x")], "path string, content string"), str(tmp_path / "i"))
+    monkeypatch.setattr(indexes, "MAX_FILES", 1)
+    with pytest.raises(IndexFailure, match="2 files"):
+        engine.build_index()
+    monkeypatch.setattr(indexes, "MAX_FILES", 2)
+    monkeypatch.setattr(indexes, "MAX_GRAMS", 3)
+    with pytest.raises(IndexFailure, match="7 distinct trigrams"):
+        engine.build_index()
+
+
+def test_a_held_lock_is_renewed(spark, tmp_path, monkeypatch):
+    import os
+    import time
+
+    monkeypatch.setattr(indexes, "RENEW_SECONDS", 0.2)
+    path = str(tmp_path / "x")
+    with indexes.Lock(spark, path) as lock:
+        os.utime(lock.path, (1, 1))
+        time.sleep(1)
+        assert os.stat(lock.path).st_mtime > 1000
+        with pytest.raises(LockFailure):
+            indexes.Lock(spark, path).__enter__()
+
+
+def test_searches_refresh_an_old_index(spark, folder, monkeypatch):
+    engine = Engine.open_local(spark, str(folder)).with_config(Config(quiet=True, refresh=True))
+    engine.build_index()
+    asked = []
+    monkeypatch.setattr(Engine, "refresh_later", lambda self: asked.append(1))
+    engine.search("nothing")
+    engine.search("nothing", SearchOptions(fresh=True))
+    engine.with_config(Config(quiet=True)).search("nothing")
+    assert asked == [1]
+    monkeypatch.setattr(cli, "REFRESH_SECONDS", -1)
+    monkeypatch.delenv("TRISEARCH_NO_REFRESH")
+    started = []
+    monkeypatch.setattr(cli.subprocess, "Popen", lambda args, **_: started.append(args))
+    cli.refresh(engine)
+    assert started[0][1:] == ["-m", "trisearch", "init", engine.root, "--local"]
+
+
+def test_ignore_files_outside_of_the_folder(tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    monkeypatch.setenv("HOME", str(tmp_path))
+    (tmp_path / "config/git").mkdir(parents=True)
+    (tmp_path / "config/git/ignore").write_text("*.tmp\n")
+    root = tmp_path / "repo"
+    (root / "a/b").mkdir(parents=True)
+    (root / ".git").mkdir()
+    (root / ".gitignore").write_text("*.log\n/a/b/top.txt\n/plain.txt\n")
+    (root / "a/.gitignore").write_text("b/x*\n!keep.log\n")
+    for name in ("plain.txt", "top.txt", "x1", "y.log", "keep.log", "z.tmp"):
+        (root / "a/b" / name).write_text("t")
+    assert corpora.walk(str(root / "a/b")) == ["keep.log", "plain.txt"]
+
+
+def test_stream_takes_files_out(spark, tmp_path, rows):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for items in ([("a", "abcd"), ("b", "abc"), ("c", "abc")], [("a", "x"), ("b", None)]):
+        spark.createDataFrame(items, "path string, content string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("path string, content string").parquet(source)
+        index_stream.start(stream, target, str(tmp_path / "check")).awaitTermination()
+    assert rows(index_stream.postings(spark, target)) == [("c", 0x616263)]

@@ -27,7 +27,9 @@ def test_regex_plans_that_decide_nothing(pattern):
 
 def test_literal_plans():
     assert trigrams.literal("hello").grams() == grams("hel", "ell", "llo")
-    assert trigrams.literal("ab").op == trigrams.literal("").op == "all"
+    assert trigrams.literal("a").op == trigrams.literal("").op == "all"
+    assert str(trigrams.literal("ab")) == "6162" and str(trigrams.literal("é")) == "C3A9"
+    assert str(trigrams.literal("A1", ignore_case=True)) == "or(4131,6131)"
     assert trigrams.literal("hel", ignore_case=True).op == "or"
     assert trigrams.literal("abcdefghijklmnop", ignore_case=True).op == "all"
     assert trigrams.of_regex("skip", ignore_case=True).op == "all"  # s and k fold to letters beyond ASCII

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import subprocess
 import sys
 import time
 from pathlib import Path
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import tools
 from .deploy import ship
-from .engine import Config, Engine, SearchOptions
+from .engine import REFRESH_SECONDS, Config, Engine, SearchOptions
 from .errors import InputOutput, SearchError
 from .functions.filetypes import list_all_types
 from .functions.hints import detect_regex_hint
@@ -100,9 +101,21 @@ def find(spark: SparkSession, a, say) -> int:
     return FOUND
 
 
+def refresh(engine: Engine) -> subprocess.Popen | None:
+    """Starts a process that brings an old index up to date, as this one ends before."""
+    index = engine.index()
+    if index is None or time.time() - index.meta["built_at"] <= REFRESH_SECONDS or _env("TRISEARCH_NO_REFRESH"):
+        return None
+    local = ["--local"] if engine.index_path.startswith(engine.root + os.sep) else []
+    quiet = subprocess.DEVNULL
+    return subprocess.Popen([sys.executable, "-m", "trisearch", "init", engine.root, *local], cwd=Path(__file__).parents[1], stdin=quiet, stdout=quiet, stderr=quiet, start_new_session=True)
+
+
 def search(spark: SparkSession, a, say) -> int:
     root, file = _target(a.path)
     engine = Engine.open(spark, root)
+    if not (file or a.fresh or a.changed or a.since):
+        refresh(engine)
     if file:
         results = engine.search_files([file], a.pattern, SearchOptions(a.case_insensitive, a.regex, max_count=a.max_count))
     else:
@@ -139,7 +152,7 @@ def command(argv: list[str], say, complain) -> int:
     a = p.parse_args(argv[1:])
     root, spark = _folder(a.root or a.path), session()
     if argv[0] == "serve":
-        tools.serve(Engine.open(spark, root).with_config(Config(quiet=True)))
+        tools.serve(Engine.open(spark, root).with_config(Config(quiet=True, refresh=True)))
     elif argv[0] == "init":
         engine = (Engine.open_local if a.local else Engine.open)(spark, root)
         began = time.time()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,6 +12,11 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process of one machine."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's modules to the executors' Python workers, once for an application."""
     sc = spark.sparkContext

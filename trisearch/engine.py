@@ -22,10 +22,8 @@ from .sources import index as indexes
 
 log = logging.getLogger("trisearch")
 
-#: Corpora of fewer bytes are scanned: there, looking up an index costs more than it saves.
-SCAN_BYTES = 1 << 30
-#: Candidates of which the ids are broadcast to the files; with more, they are joined by a shuffle.
-BROADCAST_FILES = 1_000_000
+#: An index older than so many seconds is brought up to date after a search.
+REFRESH_SECONDS = 30
 #: Changed files beyond which an index is built anew.
 MAX_CHANGED = 500
 RESULTS = "file string, line_number int, line string"
@@ -45,7 +43,10 @@ class SearchOptions:
 
 @dataclass
 class Config:
+    """quiet: no warnings; refresh: whether searches bring an old index of a folder up to date, see refresh_later()."""
+
     quiet: bool = False
+    refresh: bool = False
 
 
 @dataclass
@@ -111,17 +112,16 @@ class Engine:
     def with_config(self, config: Config) -> Engine:
         return Engine(self.spark, self.root, self.index_path, self._corpus, config)
 
-    def corpus(self, paths: list[str] | None = None) -> DataFrame:
+    def corpus(self, paths: list[str] | DataFrame | None = None) -> DataFrame:
         if self._corpus is None:
             return corpora.from_dir(self.spark, self.root, paths)
-        if paths is None:
-            return self._corpus
-        return self._corpus.join(self.spark.createDataFrame([(p,) for p in paths], "path string"), "path", "left_semi")
+        return self._corpus if paths is None else corpora.restricted(self._corpus, paths)
 
     def build_index(self, incremental: bool = True) -> indexes.Index:
-        return indexes.build(self.corpus(), self.index_path, git.head(self.root) if self.root else None, incremental)
+        names = corpora.names_of_dir(self.spark, self.root) if self._corpus is None else None
+        return indexes.build(self.corpus(), self.index_path, git.head(self.root) if self.root else None, incremental, names, self.corpus)
 
-    def refresh_later(self, seconds: int = 30) -> InheritableThread | None:
+    def refresh_later(self, seconds: int = REFRESH_SECONDS) -> InheritableThread | None:
         """Brings an index that is older than seconds up to date in a thread of its own;
         searches use the old version until it is done. None if it isn't due or another build runs."""
         index = self.index()
@@ -153,18 +153,10 @@ class Engine:
         return index.files.join(ids, "file_id", "left_semi").select("path")
 
     def _indexed(self, index: indexes.Index, pattern: str, o: SearchOptions) -> DataFrame:
-        query = plan(pattern, o, self.config.quiet)
-        files = self.corpus() if self._corpus is not None else None
-        if query.op != "all" and index.meta["bytes"] >= SCAN_BYTES:
-            paths = self.candidates(index, query)
-            if files is None:
-                # Only the candidates' files are opened; their names are few or the scan is due.
-                some = [r[0] for r in paths.limit(BROADCAST_FILES + 1).collect()]
-                files = self.corpus(some if len(some) <= BROADCAST_FILES else None)
-            else:
-                files = files.join(paths, "path", "left_semi")
-        elif files is None:
-            files = self.corpus().join(index.files.select("path"), "path", "left_semi")
+        """Searches the files that the index leaves, as they are now; no others are opened."""
+        paths = self.candidates(index, plan(pattern, o, self.config.quiet))
+        some = [r["path"] for r in paths.limit(corpora.LISTED + 1).collect()]
+        files = self.corpus(some if len(some) <= corpora.LISTED else paths)
         return match.find(files, pattern, o.case_insensitive, o.regex)
 
     def search(self, pattern: str, options: SearchOptions | None = None) -> DataFrame:
@@ -190,7 +182,10 @@ class Engine:
     def _search_index(self, pattern: str, o: SearchOptions) -> DataFrame:
         index = self.index()
         if index is not None and not o.fresh:
-            return self._indexed(index, pattern, o)
+            found = self._indexed(index, pattern, o)
+            if self.config.refresh and self.root:
+                self.refresh_later()
+            return found
         status = self.status()
         if status.kind == "needs_full_build":
             return self._indexed(self.build_index(), pattern, o)

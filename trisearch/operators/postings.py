@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +17,46 @@ def trigrams_sql(text: Column) -> Column:
     return F.when(F.octet_length(text) >= 3, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
 
 
+#: Bytes of contents whose trigrams are sorted together.
+TOGETHER = 2 << 20
+
+
+def grams_of(contents: list[bytes], ends: bool = False):
+    """(which, g): the distinct trigrams of each content, packed into ints. With ends the
+    last bytes begin trigrams too, whose missing bytes are zero; texts have no zero bytes."""
+    import numpy as np
+
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    data = np.frombuffer(b"".join(c + b"\0\0" for c in contents), np.uint8).astype(np.int32)
+    every = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+    counts = sizes if ends else np.maximum(sizes - 2, 0)
+    first = np.cumsum(sizes + 2) - (sizes + 2) - (np.cumsum(counts) - counts)
+    keys = np.unique(np.repeat(np.arange(len(contents)), counts) << 24 | every[np.arange(counts.sum()) + np.repeat(first, counts)])
+    return keys >> 24, (keys & 0xFFFFFF).astype(np.int32)
+
+
+def together(batch, column: int):
+    """(first row, contents) of runs of an Arrow batch's rows with few bytes of contents in all; null ones are empty."""
+    run, at, size = [], 0, 0
+    for i, content in enumerate(batch.column(column)):
+        run.append(content.as_py() or b"")
+        size += len(run[-1])
+        if size >= TOGETHER or i + 1 == batch.num_rows:
+            yield at, run
+            run, at, size = [], i + 1, 0
+
+
 def extract(files: DataFrame) -> DataFrame:
     """(file_id, g) of files (file_id, content): each distinct trigram of a file's
     bytes once, packed into an int. A null content has none."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for file_id, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = np.frombuffer(content.as_buffer() or b"", np.uint8).astype(np.int32)
-                if len(data) >= 3:
-                    g = np.unique(data[:-2] << 16 | data[1:-1] << 8 | data[2:])
-                    ids = pa.array(np.full(len(g), file_id.as_py(), np.int64))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(g)], names=["file_id", "g"])
+            for at, contents in together(batch, 1):
+                which, g = grams_of(contents)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which + at)), pa.array(g)], names=["file_id", "g"])
 
     return files.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).mapInArrow(run, "file_id long, g int")
 
@@ -51,7 +78,11 @@ def prefix_lookup(postings: DataFrame, pair: bytes) -> DataFrame:
 
 def candidates(postings: DataFrame, query: Query) -> DataFrame:
     """The ids of files that satisfy a query that is neither all nor none: one scan
-    of the postings and one aggregation, with a flag for each trigram."""
+    of the postings and one aggregation, with a flag for each trigram. Queries of
+    prefixes are for postings with the ends of files, as an index has them."""
+    if all(p.op == "prefix" for p in query.parts or (query,)):
+        ranges = [F.col("g").between(p.gram, p.gram + 255) for p in query.parts or (query,)]
+        return postings.where(reduce(lambda a, b: a | b, ranges)).select("file_id").distinct()
     grams = sorted(query.grams())
     found = lookup(postings, grams)
     if query.op in ("gram", "and") and all(p.op == "gram" for p in query.parts):

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine, SearchOptions, search_files
+from .deploy import is_local
+from .engine import Config, Engine, SearchOptions, search_files
+from .errors import IndexFailure
 from .functions import filetypes, hints, text
 from .functions.durations import parse_since
 from .operators import context, filters, formats, match, postings
@@ -65,6 +67,8 @@ TRIGRAMS = """grams AS (
 CHANGES = """n AS (SELECT max(doc_id) + 1 AS n FROM documents),
 changes AS (SELECT path, ts, event_id // 10 AS commit_id FROM events, n, corpus WHERE event_id % n = file_id)"""
 UP, LOW = text.UPPER, text.LOWER
+#: File numbers that a row of a posting list spans.
+CHUNK = 512
 
 
 def found(condition: str, corpus: str = CORPUS, extra: str = "", tail: str = "") -> str:
@@ -184,10 +188,9 @@ def trigram_extract(spark, sf_dir):
     return made.select("file_id", F.lpad(F.hex("g"), 6, "0").alias("g"))
 
 
-@query("""WITH corpus AS (SELECT item_id AS file_id, text AS content FROM benchmark WHERE text IS NOT NULL), """ + TRIGRAMS + " SELECT file_id, g FROM grams")
+@query(f"WITH {CORPUS}, {TRIGRAMS} SELECT file_id, g FROM grams")
 def trigram_extract_sql(spark, sf_dir):
-    rows = read(spark, sf_dir, "benchmark").where("text is not null")
-    return rows.select(F.col("item_id").alias("file_id"), F.explode(postings.trigrams_sql(F.col("text"))).alias("g"))
+    return documents(spark, sf_dir).select("file_id", F.explode(postings.trigrams_sql(F.col("content"))).alias("g"))
 
 
 def _postings(spark, sf_dir):
@@ -199,11 +202,11 @@ def postings_df(spark, sf_dir):
     return postings.document_frequency(_postings(spark, sf_dir)).select(F.lpad(F.hex("g"), 6, "0").alias("g"), "df")
 
 
-@query("""WITH corpus AS (SELECT item_id AS file_id, text AS content FROM benchmark WHERE text IS NOT NULL), """ + TRIGRAMS + " SELECT g, array_to_string(list(file_id ORDER BY file_id), ',') AS ids FROM grams GROUP BY g")
+@query(f"WITH {CORPUS}, {TRIGRAMS} SELECT g, file_id // {CHUNK} AS chunk, array_to_string(list(file_id ORDER BY file_id), ',') AS ids FROM grams GROUP BY g, chunk")
 def postings_list(spark, sf_dir):
-    items = read(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("file_id"), F.col("text").alias("content"))
-    lists = postings.extract(items).groupBy("g").agg(F.sort_array(F.collect_list("file_id")).alias("ids"))
-    return lists.select(F.lpad(F.hex("g"), 6, "0").alias("g"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    """The posting lists in chunks, as a frequent trigram's is no row of a cluster."""
+    lists = _postings(spark, sf_dir).groupBy("g", F.floor(F.col("file_id") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list("file_id")).alias("ids"))
+    return lists.select(F.lpad(F.hex("g"), 6, "0").alias("g"), "chunk", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query(f"WITH {CORPUS}, {TRIGRAMS} SELECT count(*) AS pairs, count(DISTINCT g) AS trigrams, count(DISTINCT file_id) AS files FROM grams")
@@ -250,23 +253,47 @@ def false_positive_rate(spark, sf_dir):
     return left.agg(F.count("*").alias("candidates"), F.count_if(hit).alias("matching"), F.count_if(~hit).alias("false_positives"))
 
 
-def _scratch() -> str:
-    return f"{tempfile.mkdtemp(prefix='trisearch-')}/{uuid.uuid4().hex}"
-
-
 def _index_path(spark) -> str:
+    """A new path in the folder that the cluster's machines share; without one, a local session's own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}" if shared else _scratch()
+    if not shared:
+        if not is_local(spark):
+            raise IndexFailure("spark.checkpoint.dir has to name a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="trisearch-")
+    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+def _engine(spark, sf_dir) -> Engine:
+    """The documents with an index of their own."""
+    engine = Engine(spark, None, _index_path(spark), documents(spark, sf_dir), Config(quiet=True))
+    engine.build_index()
+    return engine
 
 
 @query(found("contains(line, 'rights reserved')"))
 def literal_indexed(spark, sf_dir):
-    """Builds an index and searches by it: the candidates' contents alone are read."""
-    files = documents(spark, sf_dir)
-    index = indexes.build(files, _index_path(spark))
-    engine = Engine(spark, None, "", files)
-    paths = engine.candidates(index, trigrams.literal("rights reserved"))
-    return match.literal(files.join(paths, "path", "left_semi"), "rights reserved")
+    return _engine(spark, sf_dir).search("rights reserved")
+
+
+@query(found(f"contains(translate(line, '{UP}', '{LOW}'), 'apache li') AND content <> ''"))
+def literal_ci_indexed(spark, sf_dir):
+    return _engine(spark, sf_dir).search("Apache LI", SearchOptions(case_insensitive=True))
+
+
+@query(found("contains(line, 'Zu')"))
+def short_indexed(spark, sf_dir):
+    """Two bytes, which the index looks up as a range."""
+    return _engine(spark, sf_dir).search("Zu")
+
+
+@query(_regex("Apache|Public License|idiot"))
+def regex_indexed(spark, sf_dir):
+    return _engine(spark, sf_dir).search("Apache|Public License|idiot", SearchOptions(regex=True))
+
+
+@query(found("contains(line, 'License') AND ends_with(file, '.py') AND contains(file, 'src1')", tail=" ORDER BY file, line_number LIMIT 5"))
+def options_indexed(spark, sf_dir):
+    return _engine(spark, sf_dir).search("License", SearchOptions(file_type="py", path_pattern="src1", max_count=5))
 
 
 @query(f"WITH {CORPUS} SELECT count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM corpus")
@@ -280,12 +307,11 @@ def incremental_build(spark, sf_dir):
     """Of an index two thirds are left, half of these changed: what a second build keeps and reads anew."""
     path, files = _index_path(spark), documents(spark, sf_dir)
     first = indexes.build(files, path)
-    top = first.files.agg(F.max("file_id")).first()[0]
     changed = F.col("file_id") % 3 == 1
     content = F.when(changed, F.concat("content", F.lit(" changed"))).otherwise(F.col("content"))
     later = files.where("file_id % 3 <> 2").select("path", content.alias("content"), F.when(changed, F.col("mtime") + 60).otherwise(F.col("mtime")).alias("mtime"), F.octet_length(content).cast("long").alias("size"))
-    second = indexes.build(later, path).files
-    return second.select("path", F.when(F.col("file_id") > top, "changed").otherwise("kept").alias("state"), "content_hash")
+    second = indexes.build(later, path)
+    return second.files.select("path", F.when(F.col("build") > first.meta["build"], "changed").otherwise("kept").alias("state"), "content_hash")
 
 
 @query(f"WITH {CORPUS} SELECT path, md5(content) AS content_hash FROM corpus")
@@ -487,7 +513,47 @@ def hybrid_search(spark, sf_dir):
 # Catalogues and planning
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{','.join(e)}', '{n:<14}{', '.join('*.' + x for x in e)}')" for n, e in filetypes.list_all_types()) + ") AS t(name, extensions, listing)")
+#: The types' names and extensions.
+TYPES = """
+c c,h
+cpp cpp,cc,cxx,hpp,hxx,h
+css css
+dart dart
+elixir ex,exs
+go go
+gradle gradle
+haskell hs
+html html,htm
+java java
+javascript js,mjs,cjs
+json json
+jsx jsx
+kotlin kt,kts
+lua lua
+markdown md,markdown
+php php
+proto proto
+python py,pyi
+r r,R
+ruby rb
+rust rs
+scala scala,sc
+shell sh,bash,zsh
+sql sql
+svelte svelte
+swift swift
+terraform tf,tfvars
+toml toml
+typescript ts,tsx,mts
+vue vue
+xml xml
+yaml yaml,yml
+zig zig
+"""
+
+
+@query(f"""WITH l AS (SELECT unnest(string_split(trim('{TYPES}', chr(10)), chr(10))) AS l), t AS (SELECT string_split(l, ' ')[1] AS name, string_split(l, ' ')[2] AS extensions FROM l)
+SELECT name, extensions, rpad(name, 14, ' ') || '*.' || replace(extensions, ',', ', *.') AS listing FROM t""")
 def type_catalog(spark, sf_dir):
     return filetypes.type_catalog(spark)
 

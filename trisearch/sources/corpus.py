@@ -9,6 +9,9 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
+import shutil
+import subprocess
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 #: The schema of a corpus.
 SCHEMA = "path string, content string, mtime long, size long"
 
+#: Paths of a list that are opened by name, are broadcast, and are written into a filter.
+LISTED, BROADCAST, PUSHED = 200_000, 1_000_000, 1_000
+
 
 def text_only(files: DataFrame) -> DataFrame:
     """Without binary files, and without rows whose path or content is null."""
@@ -58,51 +64,103 @@ def ignore_pattern(rule: str) -> tuple[str, bool] | None:
     return ("" if anchored else "(?:.*/)?") + out + ("/.*" if folder else "(?:/.*)?"), again
 
 
+def _rule_files(root: str) -> list[tuple[str, str, Path]]:
+    """(what comes before a path, folder, file) of the ignore files outside of root that hold in it,
+    the weakest first: the user's own, the repository's, and those of the folders above root."""
+    found: list[tuple[str, str, Path]] = []
+    made = subprocess.run(["git", "config", "--get", "--path", "core.excludesFile"], cwd=root, capture_output=True, text=True) if shutil.which("git") else None
+    home = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config")
+    found.append(("", "", Path(made.stdout.strip()) if made and made.stdout.strip() else home / "git" / "ignore"))
+    top = next((f for f in (Path(root), *Path(root).parents) if (f / ".git").exists()), Path(root))
+    below = os.path.relpath(root, top)
+    before = "" if below == "." else below + "/"
+    found.append((before, "", top / ".git/info/exclude"))
+    folders = [top, *(top / Path(*Path(below).parts[:i]) for i in range(1, len(Path(below).parts)))] if before else []
+    return found + [(before, os.path.relpath(f, top) + "/" if f != top else "", f / ".gitignore") for f in folders]
+
+
 def walk(root: str) -> list[str]:
-    """The relative paths of regular files below a local root, hidden ones and those
-    that .gitignore files or .git/info/exclude name left out."""
+    """The relative paths of regular files below a local root, without hidden ones and those
+    that ignore files name: .gitignore files of root, the folders in it and above it as far as
+    the repository goes, .git/info/exclude and git's core.excludesFile."""
     found: list[str] = []
-    rules: list[tuple[str, re.Pattern, bool]] = []
+    rules: list[tuple[str, str, re.Pattern, bool]] = []
 
-    def add(folder: str, file: Path):
+    def add(before: str, folder: str, file: Path):
         if file.is_file():
             for line in file.read_text(errors="replace").splitlines():
                 if made := ignore_pattern(line):
-                    rules.append((folder, re.compile(made[0]), made[1]))
+                    rules.append((before, folder, re.compile(made[0]), made[1]))
 
-    add("", Path(root, ".git/info/exclude"))
+    def ignored(path: str) -> bool:
+        out = False
+        for before, folder, pattern, again in rules:
+            if (full := before + path).startswith(folder) and pattern.fullmatch(full[len(folder) :]):
+                out = not again
+        return out
+
+    for rule_file in _rule_files(root):
+        add(*rule_file)
     for at, dirs, files in os.walk(root):
         here = os.path.relpath(at, root)
         here = "" if here == "." else here + "/"
-        add(here, Path(at, ".gitignore"))
-
-        def ignored(path: str) -> bool:
-            out = False
-            for folder, pattern, again in rules:
-                if path.startswith(folder) and pattern.fullmatch(path[len(folder) :]):
-                    out = not again
-            return out
-
+        add("", here, Path(at, ".gitignore"))
         dirs[:] = sorted(d for d in dirs if not d.startswith(".") and not ignored(here + d + "/") and not ignored(here + d))
         found += [here + f for f in sorted(files) if not f.startswith(".") and not ignored(here + f) and os.path.isfile(os.path.join(at, f)) and not os.path.islink(os.path.join(at, f))]
     return sorted(found)
 
 
-def from_dir(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """A corpus of a folder. paths: of which files, relative to it; None: of all that
-    walk() finds, for a folder this machine can list, and else of all below root."""
-    base = root if "://" in root else Path(root).resolve().as_uri()
+def _existing(spark: SparkSession, root: str, paths: list[str]) -> list[str]:
+    """Those of the paths below root that are there."""
+    if "://" not in root:
+        return [p for p in paths if os.path.isfile(os.path.join(root, p))]
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda p: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top, p))
+    with ThreadPoolExecutor(32) as pool:
+        return [p for p, ok in zip(paths, pool.map(there, paths), strict=True) if ok]
+
+
+def restricted(files: DataFrame, paths: list[str] | DataFrame) -> DataFrame:
+    """The rows of files whose path is among paths; those of a list reach the scan or are broadcast."""
+    if isinstance(paths, DataFrame):
+        return files.join(paths.select("path"), "path", "left_semi")
+    if len(paths) <= PUSHED:
+        return files.where(F.col("path").isin(paths)) if paths else files.limit(0)
+    names = files.sparkSession.createDataFrame([(p,) for p in paths], "path string")
+    return files.join(F.broadcast(names) if len(paths) <= BROADCAST else names, "path", "left_semi")
+
+
+def _listed(spark: SparkSession, root: str, paths: list[str] | DataFrame | None) -> DataFrame | None:
+    """binaryFile rows of a folder with relative paths; None if there are no files."""
+    base = (root if "://" in root else f"file://{Path(root).resolve()}").rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if "://" not in root and not any(os.scandir(root)):
-        return spark.createDataFrame([], SCHEMA)
-    files = read.load(base)
+    if paths is None and "://" not in root:
+        paths = walk(root)
+    if isinstance(paths, list):
+        paths = _existing(spark, root, paths)
+        if not paths:
+            return None
+    # In Spark's paths * ? [ ] { } and \\ are signs of patterns.
+    plain = lambda p: re.sub(r"([\[\]{}*?\\])", r"\\\1", p)
+    listed = isinstance(paths, list) and len(paths) <= LISTED
+    files = read.load([plain(f"{base}/{p}") for p in paths] if listed else plain(base))
     # The URI's escapes are undone; what follows the root is the path.
     full = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^(\w+):/*", "$1:/")
-    prefix = re.sub(r"^(\w+):/*", r"\1:/", base).rstrip("/") + "/"
+    prefix = re.sub(r"^(\w+):/*", r"\1:/", base) + "/"
     rows = files.select(F.substring(full, F.lit(len(prefix) + 1), F.length(full)).alias("path"), F.col("content").cast("string").alias("content"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    if paths is None and "://" not in root:
-        paths = walk(root)
-    if paths is not None:
-        wanted = spark.createDataFrame([(p,) for p in paths], "path string")
-        rows = rows.join(wanted, "path", "left_semi")
-    return text_only(rows)
+    return rows if listed or paths is None else restricted(rows, paths)
+
+
+def from_dir(spark: SparkSession, root: str, paths: list[str] | DataFrame | None = None) -> DataFrame:
+    """A corpus of a folder. paths: of which files, relative to it, a list or a relation (path);
+    None: of all that walk() finds, for a folder this machine can list, and else of all below
+    root. Files of a list are opened by name, up to LISTED, and those that are gone are left out."""
+    rows = _listed(spark, root, paths)
+    return spark.createDataFrame([], SCHEMA) if rows is None else text_only(rows)
+
+
+def names_of_dir(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, size) of a folder's files, binary ones too; no file is opened."""
+    rows = _listed(spark, root, None)
+    return spark.createDataFrame([], "path string, mtime long, size long") if rows is None else rows.select("path", "mtime", "size")

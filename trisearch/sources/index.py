@@ -1,27 +1,37 @@
 """The trigram index: versioned Parquet folders behind a pointer.
 
-A version has files (file_id, path, mtime, size, content_hash), postings (g,
+A version has files (file_id, path, mtime, size, content_hash, build), postings (g,
 file_id), sorted by range of g so that a lookup skips row groups, and meta. A build
 writes a new folder and then replaces the file CURRENT, which names the version;
-readers see either the old index or the new one.
+readers see either the old index or the new one, which stays for a while.
 """
 
 from __future__ import annotations
 
+import logging
 import os
+import threading
 import time
 import uuid
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IndexFailure, LockFailure
-from ..operators.postings import extract
-
-FORMAT = 3
-#: Seconds after which a lock is taken for left behind.
-LOCK_SECONDS = 300
+from ..operators.postings import grams_of, together
+from .corpus import LISTED, restricted
+
+log = logging.getLogger("trisearch")
+
+FORMAT = 4
+#: Seconds after which a lock that nobody renews is taken for left behind, and between renewals.
+LOCK_SECONDS, RENEW_SECONDS = 300, 60
+#: Seconds for which replaced versions stay.
+KEEP_SECONDS = 3600
+#: Limits of file numbers and of trigrams of three bytes; tasks of a build whose numbers are broadcast.
+MAX_FILES, MAX_GRAMS, MAX_TASKS = 1 << 40, 1 << 24, 1_000_000
 #: Bytes of content that one partition of the postings stands for.
 PART_BYTES = 256 << 20
 
@@ -53,15 +63,24 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 
 class Lock:
-    """One build at a time: a file that is created only if it isn't there."""
+    """One build at a time: a file that is created only if it isn't there, and whose time its holder renews."""
 
     def __init__(self, spark: SparkSession, index: str):
-        self.spark, self.path = spark, f"{index}/LOCK"
+        self.spark, self.path, self.done = spark, f"{index}/LOCK", threading.Event()
+
+    def _renew(self):
+        while not self.done.wait(RENEW_SECONDS):
+            try:
+                fs, p = _fs(self.spark, self.path)
+                fs.setTimes(p, int(time.time() * 1000), -1)
+            except Exception as e:  # the session may end first; the next time may succeed
+                log.debug("lock not renewed: %s", e)
 
     def __enter__(self):
         for _ in range(3):
             try:
                 _write_text(self.spark, self.path, f"{os.getpid()} {int(time.time())}", overwrite=False)
+                threading.Thread(target=self._renew, daemon=True).start()
                 return self
             except Exception as e:  # the file system's own exception, through the gateway
                 fs, p = _fs(self.spark, self.path)
@@ -72,6 +91,7 @@ class Lock:
         raise LockFailure(f"another build holds {self.path}")
 
     def __exit__(self, *_):
+        self.done.set()
         fs, p = _fs(self.spark, self.path)
         fs.delete(p, False)
 
@@ -111,16 +131,42 @@ def open_index(spark: SparkSession, index: str) -> Index:
     return Index(spark, path, meta)
 
 
-def _with_ids(files: DataFrame, base: int) -> DataFrame:
-    """files with a column file_id that grows with the path; written at once, as the numbers follow the partitions."""
-    return files.repartitionByRange("path").sortWithinPartitions("path").withColumn("file_id", F.monotonically_increasing_id() + F.lit(base))
+def _read(files: DataFrame) -> DataFrame:
+    """(file_id, g, path, mtime, size, content_hash): a row with g for each trigram of files
+    (path, mtime, size, content), and one with the rest for each file. Ids count a task's files, its number in the high bits."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(n, pa.int32()), *batch.columns[1:5]], names=names)
+            for at, contents in together(batch, 5):
+                which, g = grams_of(contents, ends=True)
+                for lo in range(0, len(g), 200_000):
+                    some = slice(lo, lo + 200_000)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which[some] + at)), pa.array(g[some]), *(pa.nulls(len(g[some]), c.type) for c in batch.columns[1:5])], names=names)
+
+    names = ["file_id", "g", "path", "mtime", "size", "content_hash"]
+    content = F.col("content").cast("binary")
+    rows = files.select(F.monotonically_increasing_id().alias("file_id"), "path", F.col("mtime").cast("long").alias("mtime"), F.col("size").cast("long").alias("size"), F.md5(content).alias("content_hash"), content.alias("content"))
+    return rows.mapInArrow(run, "file_id long, g int, path string, mtime long, size long, content_hash string")
 
 
-def build(corpus: DataFrame, index: str, commit_hash: str | None = None, incremental: bool = True) -> Index:
+def check_limits(files: int, grams: int) -> None:
+    for what, n, most in (("files", files, MAX_FILES), ("distinct trigrams", grams, MAX_GRAMS)):
+        if n > most:
+            raise IndexFailure(f"{n} {what} are more than an index can hold ({most})")
+
+
+def build(corpus: DataFrame, index: str, commit_hash: str | None = None, incremental: bool = True, names: DataFrame | None = None, read=None) -> Index:
     """Builds a new version from a corpus and makes it the current one.
 
     Files whose path, mtime and size are those of the current version keep their
-    postings; only the others are read for trigrams, and deleted ones go.
+    postings; only the others are read for trigrams, and deleted ones go. Contents are read once and
+    never shuffled, unless those of an incremental build's changed files are too many for their names to be broadcast.
+    names: (path, mtime, size) of the corpus and maybe of binary files, where no file has to be opened for
+    that; read: gives the corpus of a list of paths. meta tells how many files kept their postings and how many were read.
     """
     spark = corpus.sparkSession
     with Lock(spark, index):
@@ -128,43 +174,67 @@ def build(corpus: DataFrame, index: str, commit_hash: str | None = None, increme
         path = f"{index}/{version}"
         old = open_index(spark, index) if incremental and current(spark, index) else None
         plain = corpus.select("path", "mtime", "size", "content")
-        kept = None
+        kept, number, base = None, 1, 0
         if old:
-            same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in ("path", "mtime", "size")]
-            names = plain.select("path", "mtime", "size").alias("n")
-            kept = old.files.alias("o").join(names, same, "left_semi")
-            plain = plain.alias("n").join(kept.alias("o"), same, "left_anti")
+            number = old.meta["build"] + 1
             base = (old.files.agg(F.max("file_id")).first()[0] or 0) + 1
-        else:
-            base = 0
-        fresh = _with_ids(plain.select("path", "mtime", "size", F.md5(F.col("content").cast("binary")).alias("content_hash"), "content"), base)
-        fresh.write.parquet(f"{path}/fresh")
+            same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in ("path", "mtime", "size")]
+            there = (plain if names is None else names).select("path", "mtime", "size").alias("n")
+            kept = old.files.alias("o").join(there, same, "left_semi")
+            there.join(old.files.alias("o"), same, "left_anti").select("path").write.parquet(f"{path}/changed")
+            changed = spark.read.schema("path string").parquet(f"{path}/changed")
+            some = [r["path"] for r in changed.limit(LISTED + 1).collect()]
+            few = len(some) <= LISTED
+            plain = (read(some) if read and few else restricted(plain, some if few else changed)).select("path", "mtime", "size", "content")
+        _read(plain).write.parquet(f"{path}/fresh")
         fresh = spark.read.parquet(f"{path}/fresh")
-        files = fresh.drop("content")
-        postings = extract(fresh)
+        # Ids without gaps: those of a task follow those of the tasks before it.
+        task = F.shiftright("file_id", 33)
+        made = fresh.where("path is not null").select("file_id", "path", "mtime", "size", "content_hash")
+        tasks = made.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+        sizes = [(r["task"], r["n"]) for r in tasks.orderBy("task").toLocalIterator()]
+        bases = spark.createDataFrame([(t, base + b) for (t, _), b in zip(sizes, accumulate((n for _, n in sizes), initial=0))], "task long, base long")
+        dense = lambda rows: rows.withColumn("task", task).join(F.broadcast(bases) if len(sizes) <= MAX_TASKS else bases, "task").withColumn("file_id", F.col("base") + F.col("file_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("task", "base")
+        files = dense(made).withColumn("build", F.lit(number))
+        postings = dense(fresh.where("g is not null").select("file_id", "g"))
         if kept is not None:
             files = files.unionByName(kept)
             postings = postings.unionByName(old.postings.join(kept.select("file_id"), "file_id", "left_semi").select("file_id", "g"))
         files.write.parquet(f"{path}/files")
-        total = spark.read.parquet(f"{path}/files").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("mtime").alias("newest")).first()
+        total = spark.read.parquet(f"{path}/files").agg(F.count("*").alias("n"), F.count_if(F.col("build") == number).alias("read"), F.sum("size").alias("bytes"), F.max("mtime").alias("newest")).first()
         parts = max(1, -(-(total["bytes"] or 0) // PART_BYTES))
         spread = postings.repartitionByRange(parts, "g", "file_id").sortWithinPartitions("g", "file_id").select("g", "file_id")
         spread.write.option("parquet.writer.version", "v2").option("compression", "zstd").parquet(f"{path}/postings")
         grams = spark.read.parquet(f"{path}/postings").select("g").distinct().count()
-        meta = [(FORMAT, grams, total["n"], total["bytes"] or 0, total["newest"] or 0, int(time.time()), commit_hash)]
-        spark.createDataFrame(meta, "format_version int, trigram_count long, file_count long, bytes long, newest long, built_at long, commit_hash string").coalesce(1).write.parquet(f"{path}/meta")
-        fs, p = _fs(spark, f"{path}/fresh")
-        fs.delete(p, True)
+        check_limits(total["n"], grams)
+        meta = [(FORMAT, number, grams, total["n"], total["n"] - total["read"], total["read"], total["bytes"] or 0, total["newest"] or 0, int(time.time()), commit_hash)]
+        spark.createDataFrame(meta, "format_version int, build int, trigram_count long, file_count long, kept_files long, read_files long, bytes long, newest long, built_at long, commit_hash string").coalesce(1).write.parquet(f"{path}/meta")
+        for part in ("fresh", "changed"):
+            fs, p = _fs(spark, f"{path}/{part}")
+            fs.delete(p, True)
         before = current(spark, index)
         _write_text(spark, f"{index}/CURRENT.{version}", version)
-        fs, pointer = _fs(spark, f"{index}/CURRENT")
-        _replace(spark, _fs(spark, f"{index}/CURRENT.{version}")[1], pointer)
+        _replace(spark, _fs(spark, f"{index}/CURRENT.{version}")[1], _fs(spark, f"{index}/CURRENT")[1])
         if before:
-            _, gone = _fs(spark, f"{index}/{before}")
-            fs.delete(gone, True)
+            _write_text(spark, f"{index}/{before}/SUPERSEDED", version)
+        _drop_old(spark, index, version)
         return open_index(spark, index)
 
 
+def _drop_old(spark: SparkSession, index: str, version: str) -> None:
+    """Deletes the versions that have been replaced for KEEP_SECONDS; searches that opened one of the others may still run."""
+    fs, p = _fs(spark, index)
+    for status in fs.listStatus(p):
+        folder = status.getPath()
+        if not folder.getName().startswith("v-") or folder.getName() == version:
+            continue
+        marker = _fs(spark, f"{index}/{folder.getName()}/SUPERSEDED")[1]
+        # One without a marker was left by a build that failed.
+        since = fs.getFileStatus(marker) if fs.exists(marker) else status
+        if time.time() - since.getModificationTime() / 1000 > KEEP_SECONDS:
+            fs.delete(folder, True)
+
+
 def _replace(spark: SparkSession, made, pointer) -> None:
     """Renames made to pointer, over what is there, in one step."""
     sc = spark.sparkContext

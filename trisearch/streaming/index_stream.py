@@ -16,14 +16,16 @@ from ..sources.corpus import text_only
 
 
 def start(files: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Writes deltas of a stream (path, content) below target, as (path, g) rows.
-    Rows with a null path or content and binary files are left out."""
+    """Writes deltas of a stream (path, content) below target, as (path, g) rows and one with
+    a null g for each path. Rows with a null path are left out; a null content or a
+    binary one has no trigrams, so that it takes a file out that was there before."""
 
     def add(batch: DataFrame, number: int) -> None:
-        named = text_only(batch.select("path", "content")).withColumn("file_id", F.monotonically_increasing_id()).persist()
-        grams = extract(named).join(named.select("file_id", "path"), "file_id").select("path", "g")
+        files = batch.where("path is not null").select("path", "content").withColumn("file_id", F.monotonically_increasing_id()).persist()
+        named = text_only(files)
+        grams = extract(named).join(named.select("file_id", "path"), "file_id").select("path", "g").union(files.select("path", F.lit(None).cast("int")))
         grams.repartitionByRange("g").sortWithinPartitions("g").write.mode("overwrite").parquet(f"{target}/batch={number}")
-        named.unpersist()
+        files.unpersist()
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -32,7 +34,7 @@ def postings(spark: SparkSession, target: str) -> DataFrame:
     """(path, g) of all deltas; of a path that came again the last batch counts."""
     every = spark.read.schema("path string, g int, batch long").parquet(target)
     last = every.groupBy("path").agg(F.max("batch").alias("batch"))
-    return every.join(last, ["path", "batch"], "left_semi").select("path", "g").distinct()
+    return every.join(last, ["path", "batch"], "left_semi").where("g is not null").select("path", "g").distinct()
 
 
 def compact(spark: SparkSession, target: str, into: str) -> None:
