@@ -64,12 +64,27 @@ def test_rotation_is_orthogonal_and_codes_are_balanced():
     rnd = np.random.default_rng(2)
     x = embedding_dedup.unit(rnd.normal(size=(2000, 32)) * np.linspace(3, 0.2, 32))
     q = embedding_dedup.learn(x)
-    assert np.allclose(q.turn.T @ q.turn, np.eye(32), atol=1e-9)
+    assert np.allclose(q.turn[:, :32].T @ q.turn[:, :32], np.eye(32), atol=1e-9)
     bits = ((x - q.mean) @ q.turn > 0).mean(0)
-    assert abs(bits - 0.5).max() < 0.15
+    assert abs(bits - 0.5).max() < 0.15 and q.turn.shape == (32, embedding_dedup.BITS)
     assert len(np.unique(q.codes(x))) > 1500
 
 
+@pytest.mark.parametrize("dims", [2, 16, 64, 100])
+def test_codes_of_any_size_select(spark, dims):
+    rnd = np.random.default_rng(dims)
+    bases = rnd.normal(size=(300, dims))
+    near = bases + rnd.normal(size=bases.shape) * 0.1 * np.abs(bases).mean()
+    rows = [(i, [float(v) for v in x], 1) for i, x in enumerate(np.concatenate([bases, near]).astype(np.float32))]
+    nodes = embedding_dedup.classes(spark.createDataFrame(rows, SCHEMA)).persist()
+    met = embedding_dedup.candidates(embedding_dedup._coded(nodes)).count()
+    links = embedding_dedup.links(embedding_dedup.candidates(embedding_dedup._coded(nodes)), nodes).count()
+    x = embedding_dedup.unit(np.array([r[1] for r in rows]))
+    pairs = int(np.triu(x @ x.T >= 0.98, 1).sum())
+    # Of two dimensions a sixteenth of all pairs link.
+    assert met < 0.25 * 600 * 599 / 2 and pairs * 0.97 <= links <= pairs
+
+
 URLS = [
     ("https://A.Example.NET/en/1", "a.example.net", "/en/1", "example.net/en/", "allow"),
     ("http://x.net/", "x.net", "/", "net/", "block"),
@@ -110,3 +125,43 @@ def test_trees_learn():
     assert np.mean((model.score(urls[1500:]) >= 0.5) == np.array(y[1500:])) > 0.97
     margin = url_filter.fit_trees(np.arange(40.0)[:, None], (np.arange(40) > 19).astype(float)).margin(np.arange(40.0)[:, None])
     assert ((margin > 0) == (np.arange(40) > 19)).all()
+
+
+def test_the_sample_has_the_smallest_hashes(spark, monkeypatch):
+    urls = [(i, f"http://h{i}.net/{i % 7}") for i in range(900)] + [(1000 + i, "http://hot.net/") for i in range(500)]
+    pages = spark.createDataFrame(urls, "page_id long, url string").repartition(5)
+    seen = []
+    monkeypatch.setattr(url_filter, "UrlModel", lambda u, y: seen.append((u, y)))
+    for most in (20, 300, 5000):
+        monkeypatch.setattr(url_filter, "MAX_ROWS", most)
+        url_filter.train(pages)
+        from pyspark.sql import functions as F
+
+        every = [r["url"] for r in pages.select("url").distinct().orderBy(F.xxhash64("url")).collect()]
+        assert seen[-1] == (every[:most], [1] * min(most, len(every)))
+
+
+def test_rules_against_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    parts = ["net", "example", "org", "com", "a", "Example", "NET", "en", "de", "fr", "x"]
+    some = lambda n, sep: sep.join(rnd.choice(parts, n))
+    urls = [f"{rnd.choice(['http', 'ftp', ''])}{rnd.choice(['://', '://', ':/'])}{some(rnd.integers(1, 3), '.')}{rnd.choice(['', '.'])}{rnd.choice(['net', 'example.net', 'EXAMPLE.com', 'org', 'x'])}{rnd.choice(['', '/', '/', '/', '?', '#'])}{some(rnd.integers(1, 3), '/')}{rnd.choice(['', '/', '?q', '#/en/'])}" for _ in range(600)]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+    def judged(u):
+        _, sign, rest = u.partition("://")
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, path = rest[:end], rest[end:]
+        path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        if not sign:
+            return "", "", None, None
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *max(fits)[1:]) if fits else (host, path, None, None)
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages, url_filter.train(pages)).collect()}
+    assert sum(judged(u)[2] is not None for u in urls) > 50
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = judged(u)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict in ([verdict] if verdict else ["allow", "block"]), u

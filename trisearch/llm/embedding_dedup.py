@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,14 +35,37 @@ class Quantiser:
         import numpy as np
 
         bits = (x - self.mean) @ self.turn > 0
-        padded = np.zeros((len(x), BITS), bool)
-        padded[:, : bits.shape[1]] = bits
-        return np.packbits(padded, axis=1).view(">u8").astype("<u8").view(np.int64).ravel()
+        return np.packbits(bits, axis=1).view(">u8").astype("<u8").view(np.int64).ravel()
+
+
+def _random(n: int, seed: int):
+    """A random rotation of n dimensions, of which at most BITS are left."""
+    import numpy as np
+
+    turn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(n, BITS))))
+    return turn
+
+
+def _full(turn):
+    """turn, and where it has fewer columns than BITS those of random rotations after it."""
+    import numpy as np
+
+    n, bits = turn.shape
+    more = [_random(n, SEED + i) for i in range(1, -(-BITS // bits))]
+    return np.hstack([turn, *more])[:, :BITS]
+
+
+def unlearned(n: int) -> Quantiser:
+    """For vectors of n dimensions of which the sample has none."""
+    import numpy as np
+
+    return Quantiser(np.zeros(n), _full(_random(n, SEED)))
 
 
 def learn(x) -> Quantiser:
     """Iterative quantisation of unit vectors in rows: principal components, then
-    by turns the codes of the turned vectors and the rotation that fits these best."""
+    by turns the codes of the turned vectors and the rotation that fits these best.
+    Vectors of fewer dimensions than BITS get the rest of their bits from random rotations."""
     import numpy as np
 
     mean = x.mean(0)
@@ -50,11 +73,11 @@ def learn(x) -> Quantiser:
     values, vectors = np.linalg.eigh(centred.T @ centred)
     top = vectors[:, np.argsort(-values)[: min(BITS, x.shape[1])]]
     v = centred @ top
-    turn, _ = np.linalg.qr(np.random.default_rng(SEED).normal(size=(top.shape[1],) * 2))
+    turn = _random(top.shape[1], SEED)
     for _ in range(ROUNDS):
         u, _, w = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
         turn = (u @ w).T
-    return Quantiser(mean, top @ turn)
+    return Quantiser(mean, _full(top @ turn))
 
 
 def unit(x):
@@ -66,19 +89,20 @@ def unit(x):
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """(node, label, embedding, rep, copies): equal vectors of a label, that can link at all."""
+    """(node, label, embedding, rep, copies): equal vectors of a label, that can link at all.
+    Written at once: node is a number of the written row."""
     e = F.col("embedding")
     good = F.exists(e, lambda v: v != 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
     rows = vectors.where(F.col("label").isNotNull() & e.isNotNull()).where(F.coalesce(good, F.lit(False)))
     found = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    return found.withColumn("node", F.xxhash64("label", "embedding"))
+    return found.withColumn("node", F.monotonically_increasing_id())
 
 
 def _coded(nodes: DataFrame) -> DataFrame:
     """(node, label, dims, code) of classes."""
     import numpy as np
 
-    sample = nodes.withColumn("size", F.size("embedding")).orderBy("node").select("size", "embedding").limit(SAMPLE).collect()
+    sample = nodes.withColumn("size", F.size("embedding")).orderBy(F.xxhash64("label", "embedding"), "node").select("size", "embedding").limit(SAMPLE).collect()
     models = {}
     for size in {r["size"] for r in sample}:
         models[size] = learn(unit(np.array([r["embedding"] for r in sample if r["size"] == size])))
@@ -97,9 +121,7 @@ def _coded(nodes: DataFrame) -> DataFrame:
             for n in np.unique(size):
                 some = np.flatnonzero(size == n)
                 x = unit(flat[(at[some][:, None] + np.arange(n))])
-                # Vectors of a size that the sample lacks have no model: the signs of their first components.
-                model = sent.value.get(int(n)) or Quantiser(np.zeros(n), np.eye(n, min(n, BITS)))
-                codes[some] = model.codes(x)
+                codes[some] = (sent.value.get(int(n)) or unlearned(int(n))).codes(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size.astype(np.int32)), pa.array(codes)], names=["node", "label", "dims", "code"])
 
     return nodes.select("node", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, "node long, label string, dims int, code long")
@@ -161,9 +183,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = common.stored(links(candidates(_coded(nodes)), nodes, threshold), "links")
     both = found.union(found.select(F.col("b"), F.col("a")))
     others = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    least = nodes.select("node", "label", "embedding", "rep", "copies").join(components(found), "node", "left").join(others, "node", "left")
-    least = least.withColumn("low", F.min("rep").over(Window.partitionBy(F.coalesce("component", "node"))))
-    known = least.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), "low")
+    labels = common.stored(components(found).join(nodes.select("node", "rep"), "node"), "labels")
+    # Stored, so that the join with a large component's members can be split.
+    lows = common.stored(labels.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("low")), "lows")
+    reached = labels.join(lows, F.col("component") == F.col("c")).select("node", "low", F.lit(True).alias("linked"))
+    least = nodes.join(reached, "node", "left").join(others, "node", "left")
+    low = F.when(F.col("linked"), F.col("low")).otherwise(F.col("rep"))
+    known = least.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), low.alias("low"))
     joined = rows.join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     component = F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("low"))
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

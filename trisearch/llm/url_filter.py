@@ -160,9 +160,19 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def train(pages: DataFrame, rules=RULES) -> UrlModel:
-    """Trees from at most MAX_ROWS of the distinct URLs that a rule decides."""
-    labelled = parsed(pages, rules).where("listed is not null").select("url", F.when(F.col("listed") == "block", 1).otherwise(0).alias("y"))
-    rows = labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(MAX_ROWS).collect()
+    """Trees from at most MAX_ROWS of the distinct URLs that a rule decides, those with the smallest hashes.
+
+    A null url is an empty one, which no rule decides; repeated rows count once; without labelled
+    URLs the model allows all; other columns are ignored.
+    """
+    labelled = parsed(pages, rules).where("listed is not null").select("url", F.when(F.col("listed") == "block", 1).otherwise(0).alias("y"), F.xxhash64("url").alias("h"))
+    smallest = lambda urls: urls.distinct().orderBy("h", "url").limit(MAX_ROWS).collect()
+    rows, n = [], labelled.agg(F.approx_count_distinct("h")).first()[0]
+    if n > 4 * MAX_ROWS:
+        # Hashes below which about twice as many are: no others are shuffled.
+        rows = smallest(labelled.where(F.col("h") < int(-(2**63) + 2**64 * (2 * MAX_ROWS / n))))
+    if len(rows) < MAX_ROWS:
+        rows = smallest(labelled)
     return UrlModel([r["url"] for r in rows], [r["y"] for r in rows])
 
 
