@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import is_local
+
 #: Bytes of text that one task handles.
 TASK_BYTES = 24 << 20
 #: Rows of a result batch that leave a Python worker together.
@@ -22,9 +24,11 @@ CHUNK_BYTES = 4 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where the session names none (local sessions and tests)."""
+    temporary one where a local session names none. On a cluster it has to be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='trisearch-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     sc = spark.sparkContext
