@@ -65,7 +65,7 @@ def _target(path: str | None) -> tuple[str, str | None]:
     """The folder to search, and the file in it if the path is one."""
     p = Path(path or ".")
     if not p.exists():
-        raise InputOutput(f"path does not exist: {path}")
+        raise InputOutput(f"there is no {path}")
     p = p.resolve()
     return (str(p), None) if p.is_dir() else (str(p.parent), p.name)
 
@@ -73,7 +73,7 @@ def _target(path: str | None) -> tuple[str, str | None]:
 def _folder(path: str | None) -> str:
     folder, file = _target(path)
     if file:
-        raise InputOutput("expected a directory, not a file")
+        raise InputOutput("a folder is needed, not a file")
     return folder
 
 
@@ -157,10 +157,10 @@ def command(argv: list[str], say, complain) -> int:
         engine = (Engine.open_local if a.local else Engine.open)(spark, root)
         began = time.time()
         engine.build_index()
-        complain(f"Index built: {engine.index_path} ({indexes.size_on_disk(spark, engine.index_path)} bytes) in {time.time() - began:.2f}s")
+        complain(f"Wrote {engine.index_path} ({indexes.size_on_disk(spark, engine.index_path)} bytes) in {time.time() - began:.2f}s")
     else:
         engine = Engine.open(spark, root)
-        say(engine.index_status() if engine.index() else f"No index found\nIndex path: {engine.index_path}\nRun 'trisearch init' to build the index")
+        say(engine.index_status() if engine.index() else f"There is no index yet; 'trisearch init' makes one at {engine.index_path}")
     return FOUND
 
 
@@ -174,9 +174,9 @@ def main(argv: list[str] | None = None, say=print, complain=lambda text: print(t
             say("\n".join(f"{name:<14}{', '.join('*.' + e for e in exts)}" for name, exts in list_all_types()))
             return FOUND
         if a.json and a.format != "default":
-            raise SearchError("--json cannot be combined with --format")
+            raise SearchError("--json and --format exclude each other")
         if a.count + a.files_only + a.json > 1:
-            raise SearchError("-c, -l, and --json are mutually exclusive")
+            raise SearchError("only one of -c, -l and --json can be given")
         if a.pattern is None:
             complain("Usage: trisearch PATTERN [PATH] or trisearch init")
             return ERROR

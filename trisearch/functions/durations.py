@@ -25,12 +25,12 @@ def parse_since(text: str) -> Since:
     if text.endswith(".commits"):
         n = number(text.removesuffix(".commits"))
         if n is None:
-            raise InvalidArgument(f"invalid commit count: {text.removesuffix('.commits')}")
+            raise InvalidArgument(f"not a number of commits: {text.removesuffix('.commits')}")
         return Since(commits=n)
     if text[-1:] not in UNITS:
-        raise InvalidArgument(f"invalid duration format: {text}. Use Nh, Nm, Nd, Nw, or N.commits")
+        raise InvalidArgument(f"{text} is no span of time: give a number and h, m, d, w or .commits")
     n = number(text[:-1])
     if n is None:
-        raise InvalidArgument(f"invalid number: {text[:-1]}")
+        raise InvalidArgument(f"not a number: {text[:-1]}")
     unit, seconds = UNITS[text[-1]]
     return Since(seconds=n * seconds, phrase=f"{n} {unit}{'' if n == 1 else 's'} ago")

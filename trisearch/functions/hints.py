@@ -63,4 +63,4 @@ def detect_regex(pattern: str) -> str | None:
 def detect_regex_hint(pattern: str) -> str | None:
     """The message for such a pattern, or None."""
     found = detect_regex(pattern)
-    return found and f"hint: pattern looks like a regex (found `{found}`). Use -e to enable regex mode."
+    return found and f"hint: `{found}` is read as plain text; -e makes the pattern a regular expression"

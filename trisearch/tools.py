@@ -19,7 +19,7 @@ from .sources import index as indexes
 VERSION = "0.1.0"
 #: Codes of the protocol.
 PARSE_ERROR, NO_METHOD, BAD_PARAMS = -32700, -32601, -32602
-#: Keywords before the name of what is defined.
+#: Keywords before the name of what is defined.
 DEFINITION = r"(?:pub\s+)?(?:fn|struct|enum|trait|type|impl|class|def|function|func|fun|const|let|var|val|interface)\s+{}\b"
 DEFINITIONS = 20
 
@@ -61,23 +61,23 @@ def int_param(params: dict, key: str, default: int) -> int:
         return default
     value = params[key]
     if not isinstance(value, int) or isinstance(value, bool):
-        raise BadParameter(f"Parameter '{key}' must be an integer, got {json.dumps(value)}")
+        raise BadParameter(f"'{key}' takes a whole number, not {json.dumps(value)}")
     if value < 0:
-        raise BadParameter(f"Parameter '{key}' must be non-negative, got {value}")
+        raise BadParameter(f"'{key}' takes a number from 0 on, not {value}")
     return value
 
 
 def bool_param(params: dict, key: str) -> bool:
     value = params.get(key, False)
     if not isinstance(value, bool):
-        raise BadParameter(f"Parameter '{key}' must be a boolean, got {json.dumps(value)}")
+        raise BadParameter(f"'{key}' takes true or false, not {json.dumps(value)}")
     return value
 
 
 def required(params: dict, key: str) -> str:
     value = text_param(params, key)
     if value is None:
-        raise BadParameter(f"Missing required parameter: {key}")
+        raise BadParameter(f"'{key}' has to be given")
     return value
 
 
@@ -120,7 +120,7 @@ def find_definitions(engine: Engine, params: dict) -> str:
 def build_index(engine: Engine, params: dict) -> str:
     began = time.time()
     engine.build_index()
-    return f"Index built successfully in {time.time() - began:.2f}s ({indexes.size_on_disk(engine.spark, engine.index_path)} bytes)"
+    return f"The index is up to date after {time.time() - began:.2f} s ({indexes.size_on_disk(engine.spark, engine.index_path)} bytes)"
 
 
 def index_status(engine: Engine, params: dict) -> str:
@@ -132,22 +132,22 @@ def read_file(engine: Engine, params: dict) -> str:
     if engine.root is not None:
         root, full = Path(engine.root).resolve(), Path(engine.root, path).resolve()
         if not full.exists():
-            raise BadParameter(f"Cannot read file '{path}': no such file")
+            raise BadParameter(f"there is no file '{path}'")
         if not full.is_relative_to(root):
-            raise BadParameter("Error: path traversal detected, file is outside project root")
+            raise BadParameter(f"'{path}' is not below the folder that is served")
         try:
             lines = full.read_bytes().decode().replace("\r\n", "\n").split("\n")
         except (OSError, UnicodeDecodeError) as e:
-            raise BadParameter(f"Cannot read file '{path}': {e}") from e
+            raise BadParameter(f"'{path}' cannot be read: {e}") from e
     else:
         found = engine.corpus([path]).select("content").first()
         if found is None:
-            raise BadParameter(f"Cannot read file '{path}': no such file")
+            raise BadParameter(f"there is no file '{path}'")
         lines = found["content"].replace("\r\n", "\n").split("\n")
     if lines[-1] == "":
         lines.pop()
     if not lines:
-        return f"## {path}\n\nFile is empty.\n"
+        return f"## {path}\n\n(no lines)\n"
     start = min(max(int_param(params, "start_line", 1), 1), len(lines))
     end = min(max(int_param(params, "end_line", len(lines)), start), len(lines))
     body = "".join(f"{n:4} | {lines[n - 1]}\n" for n in range(start, end + 1))
