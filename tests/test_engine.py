@@ -261,6 +261,21 @@ def test_builds_do_not_shuffle_contents_and_keep_old_versions(spark, tmp_path, r
     assert [p.name for p in (tmp_path / "i").glob("v-*")] == [third.path.rsplit("/", 1)[1]] and third.meta["build"] == 3
 
 
+def test_the_rarest_trigrams_are_looked_up(spark, tmp_path, rows):
+    items = [(f"p{i:02}", "common words in every file" + (" and rare zyxwvq" if i % 10 == 3 else "")) for i in range(30)]
+    engine = Engine.from_table(spark.createDataFrame(items, "path string, content string"), str(tmp_path / "i")).with_config(Config(quiet=True))
+    index = engine.build_index()
+    from trisearch.plans import trigrams
+
+    asked = trigrams.literal("every file and rare zyxwvq")
+    some = engine._rarest(index, asked)
+    df = {r.g: r.df for r in index.grams.collect()}
+    assert some.grams() < asked.grams() and all(df[g] == 3 for g in some.grams()) and df == {r.g: r["count"] for r in index.postings.groupBy("g").count().collect()}
+    assert [r[0] for r in rows(engine.search("every file and rare zyxwvq"))] == ["p03", "p13", "p23"]
+    assert engine._rarest(index, trigrams.literal("common words nowhere")) is trigrams.NONE and rows(engine.search("common words nowhere")) == []
+    assert len(rows(engine.search("common words in"))) == 30
+
+
 def test_limits_are_errors(spark, tmp_path, monkeypatch):
     engine = Engine.from_table(spark.createDataFrame([("a", "abcdef"), ("b", "x")], "path string, content string"), str(tmp_path / "i"))
     monkeypatch.setattr(indexes, "MAX_FILES", 1)

@@ -22,6 +22,8 @@ from .sources import index as indexes
 
 log = logging.getLogger("trisearch")
 
+#: Of the trigrams that all have to be there, so many are looked up, the rarest ones.
+RAREST = 6
 #: An index older than so many seconds is brought up to date after a search.
 REFRESH_SECONDS = 30
 #: Changed files beyond which an index is built anew.
@@ -144,7 +146,8 @@ class Engine:
     # Searching
 
     def candidates(self, index: indexes.Index, query: trigrams.Query) -> DataFrame:
-        """(path) of the files that a query leaves."""
+        """(path) of the files that a query leaves, by the rarest trigrams where all of many have to be there."""
+        query = self._rarest(index, query)
         if query.op == "all":
             return index.files.select("path")
         if query.op == "none":
@@ -152,6 +155,15 @@ class Engine:
         ids = postings.candidates(index.postings, query)
         return index.files.join(ids, "file_id", "left_semi").select("path")
 
+    def _rarest(self, index: indexes.Index, query: trigrams.Query) -> trigrams.Query:
+        if query.op != "and" or len(query.parts) <= RAREST or any(p.op != "gram" for p in query.parts):
+            return query
+        # A row for each trigram of the pattern at most.
+        df = {r["g"]: r["df"] for r in index.grams.where(F.col("g").isin(sorted(query.grams()))).collect()}
+        if len(df) < len(query.parts):
+            return trigrams.NONE
+        return trigrams.Query("and", tuple(sorted(query.parts, key=lambda p: (df[p.gram], p.gram))[:RAREST]))
+
     def _indexed(self, index: indexes.Index, pattern: str, o: SearchOptions) -> DataFrame:
         """Searches the files that the index leaves, as they are now; no others are opened."""
         paths = self.candidates(index, plan(pattern, o, self.config.quiet))

@@ -1,7 +1,7 @@
 """The trigram index: versioned Parquet folders behind a pointer.
 
 A version has files (file_id, path, mtime, size, content_hash, build), postings (g,
-file_id), sorted by range of g so that a lookup skips row groups, and meta. A build
+file_id), sorted by range of g so that a lookup skips row groups, grams (g, df) and meta. A build
 writes a new folder and then replaces the file CURRENT, which names the version;
 readers see either the old index or the new one, which stays for a while.
 """
@@ -112,6 +112,11 @@ class Index:
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
+    @property
+    def grams(self) -> DataFrame:
+        """(g, df): how many files have a trigram, in the order of g."""
+        return self.spark.read.parquet(f"{self.path}/grams")
+
 
 def current(spark: SparkSession, index: str) -> str | None:
     pointer = f"{index}/CURRENT"
@@ -205,7 +210,9 @@ def build(corpus: DataFrame, index: str, commit_hash: str | None = None, increme
         parts = max(1, -(-(total["bytes"] or 0) // PART_BYTES))
         spread = postings.repartitionByRange(parts, "g", "file_id").sortWithinPartitions("g", "file_id").select("g", "file_id")
         spread.write.option("parquet.writer.version", "v2").option("compression", "zstd").parquet(f"{path}/postings")
-        grams = spark.read.parquet(f"{path}/postings").select("g").distinct().count()
+        lengths = spark.read.parquet(f"{path}/postings").groupBy("g").agg(F.count("*").alias("df"))
+        lengths.repartitionByRange("g").sortWithinPartitions("g").write.parquet(f"{path}/grams")
+        grams = spark.read.parquet(f"{path}/grams").count()
         check_limits(total["n"], grams)
         meta = [(FORMAT, number, grams, total["n"], total["n"] - total["read"], total["read"], total["bytes"] or 0, total["newest"] or 0, int(time.time()), commit_hash)]
         spark.createDataFrame(meta, "format_version int, build int, trigram_count long, file_count long, kept_files long, read_files long, bytes long, newest long, built_at long, commit_hash string").coalesce(1).write.parquet(f"{path}/meta")
