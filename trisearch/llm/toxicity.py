@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Interpolated Kneser-Ney models of the characters of words, one of toxic and one
-of ordinary labelled texts. Long contexts have counts of their class; below them
-both back off to the same continuation counts, so that a rare expression is about
+of ordinary labelled texts, with larger discounts for what comes more often. Long contexts have counts of their
+class; below them both back off to the same continuation counts, so that a rare expression is about
 as likely in either. A text's score is the difference of its log-likelihoods for
 each word and for the words that stand out, put on a scale from 0 to 1 by a
 logistic curve fitted across folds.
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bounds of the training sample: labelled documents of each class, those with the
-#: smallest hashes of their ids, and words, those that most of these documents have.
-MAX_DOCS, MAX_WORDS = 8000, 100_000
+#: smallest hashes of their ids, and of these the ones that have at most so many characters.
+MAX_DOCS, MAX_CHARS = 1000, 1_000_000
 #: Characters of an n-gram; up to SHARED characters, counts are of both classes.
-ORDER, SHARED = 10, 2
-DISCOUNT = 0.75
+ORDER, SHARED = 8, 2
+#: What is taken from the count of an n-gram that comes once, twice, and more often.
+DISCOUNTS = (0.95, 1.4, 1.7)
 FOLDS = 2
 #: Words of ratio 0 that are added to a text, and the ratio beyond which a word is more than noise.
 PRIOR, NOISE = 20, 2.5
@@ -31,16 +32,20 @@ PRIOR, NOISE = 20, 2.5
 CLIP = 12.0
 #: Words of which a Python worker remembers the ratio; beyond, it starts anew.
 CACHE_WORDS = 300_000
-CACHE_LENGTH = 64
+#: Longer words are cut into words of so many characters.
+LONGEST = 64
 #: Characters around a word.
 BEGIN, END = "\x02", "\x03"
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters and digits in lower case, within a word apostrophes too."""
+    """Runs of letters and digits in lower case, within a word apostrophes too; the parts of long ones."""
     import regex
 
-    return regex.findall(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*", text.lower())
+    found = regex.findall(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*", text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[at : at + LONGEST] for w in found for at in range(0, len(w), LONGEST)]
 
 
 def _characters(words: list[str]):
@@ -49,10 +54,10 @@ def _characters(words: list[str]):
     import numpy as np
 
     text = "".join([f"{BEGIN}{w}{END}" for w in words])
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(sizes)
-    have = np.arange(len(codes)) - np.repeat(ends - sizes, sizes) + 1
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, words), np.int32, len(words)) + 2
+    ends = np.cumsum(sizes, dtype=np.int32)
+    have = np.arange(len(codes), dtype=np.int32) - np.repeat(ends - sizes, sizes) + 1
     return codes, have, have > 1, np.cumsum(sizes - 1)
 
 
@@ -63,8 +68,10 @@ def _hashes(codes):
     h = np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64)
     for n in range(1, ORDER + 2):
         yield h
-        shifted = np.concatenate([np.zeros(min(n - 1, len(codes)), np.uint64), codes[: max(len(codes) - n + 1, 0)]])
-        h = (h ^ (shifted + np.uint64(n << 24))) * np.uint64(0xBF58476D1CE4E5B9)
+        shifted = np.zeros(len(codes), np.uint64)
+        shifted[n - 1 :] = codes[: max(len(codes) - n + 1, 0)]
+        shifted += np.uint64(n << 24)
+        h = (h ^ shifted) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
     yield h
 
@@ -113,7 +120,7 @@ class Ratio:
 
 
 def fit_ratio(words: list[str], uses) -> Ratio:
-    """The two models of words, of which uses has the numbers in ordinary and in toxic texts."""
+    """The two models of words, of which uses has the numbers of ordinary and of toxic texts that have them."""
     import numpy as np
 
     codes, have, counts, ends = _characters(words)
@@ -122,29 +129,33 @@ def fit_ratio(words: list[str], uses) -> Ratio:
     have, begun = have[counts], np.flatnonzero(counts) - 1
     alphabet = len(np.unique(codes)) + 1
     grams, rests = [None], []
-    hashes = _hashes(codes)
+    taken, hashes = np.array([0, *DISCOUNTS]), _hashes(codes)
     shorter, same = next(hashes), next(hashes)
     for n, longer_ones in zip(range(1, ORDER + 1), hashes):
-        before, here, after = shorter[begun], same[counts], longer_ones[counts]
-        shorter, same = same, longer_ones
-        inside = have >= n
-        keys, first, of = np.unique(here[inside], return_index=True, return_inverse=True)
-        ctx, ctx_of = np.unique(before[inside][first], return_inverse=True)
+        # Arrays of all places are dropped as soon as they have served.
+        inside = np.flatnonzero(have >= n).astype(np.int32)
+        keys, first, of = np.unique(same[counts][inside], return_index=True, return_inverse=True)
+        of, ctx = of.astype(np.int32), shorter[begun[inside[first]]]
+        del shorter, first
+        ctx, ctx_of = np.unique(ctx, return_inverse=True)
         a = np.array([np.bincount(of, u[inside], len(keys)) for u in uses])
         if n < ORDER:  # continuation counts, but of n-grams that begin a word their own
-            longer = np.flatnonzero(have > n)
-            distinct, one, whose = np.unique(after[longer], return_index=True, return_inverse=True)
-            ends_in = np.searchsorted(keys, here[longer[one]])
             begins = np.bincount(of, have[inside] > n, len(keys)) == 0
+            del of, inside
+            longer = np.flatnonzero(have > n).astype(np.int32)
+            distinct, one, whose = np.unique(longer_ones[counts][longer], return_index=True, return_inverse=True)
+            whose, ends_in = whose.astype(np.int32), np.searchsorted(keys, same[counts][longer[one]])
             kinds = np.array([np.bincount(ends_in, np.bincount(whose, u[longer], len(distinct)) > 0, len(keys)) for u in uses])
             a = np.where(begins, a, kinds)
+            del whose, distinct, one, longer, ends_in, kinds
+        shorter, same = same, longer_ones
         if n <= SHARED:
             a = np.array([a.sum(0)] * 2)
         total = np.array([np.bincount(ctx_of, x, len(ctx)) for x in a])
-        kinds = np.array([np.bincount(ctx_of, x > 0, len(ctx)) for x in a])
+        less = taken[np.minimum(a, 3).astype(np.int8)]
         safe = np.maximum(total, 1e-9)
-        own = np.maximum(a - DISCOUNT, 0) / safe[:, ctx_of]
-        left = np.where(total > 0, DISCOUNT * kinds / safe, 1.0)
+        own = (a - less) / safe[:, ctx_of]
+        left = np.where(total > 0, np.array([np.bincount(ctx_of, x, len(ctx)) for x in less]) / safe, 1.0)
         grams.append((keys, own.astype(np.float32)))
         if n == 1:
             rests.append(left)
@@ -205,9 +216,6 @@ class Words:
                 weights = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
                 top = np.partition(r, -2)[-2:] if len(r) > 1 else r
                 rows[i] = (r * weights).sum() / (weights.sum() + PRIOR), np.maximum(r - NOISE, 0).sum() / (len(r) + PRIOR) ** 0.5, top.sum() / 2
-        for w in new:
-            if len(w) > CACHE_LENGTH:
-                del cache[w]
         return rows
 
 
@@ -239,25 +247,23 @@ class Classifier:
 
 
 def _counts(found: DataFrame) -> DataFrame:
-    """(word, n0, n1, ..., docs): uses of each word by fold and label (n of 2 * fold + label) in found (toxic, fold, text)."""
+    """(word, n0, n1, ...): how many texts of found (toxic, fold, text) have each word, by fold and label (n of 2 * fold + label)."""
 
     def run(batches):
         import pyarrow as pa
 
-        counts, docs = [Counter() for _ in range(2 * FOLDS)], Counter()
+        counts = [Counter() for _ in range(2 * FOLDS)]
         for batch in batches:
             for part in common.chunks(batch, limit=1 << 20):
                 for toxic, fold, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = Counter(w for w in words_of(text) if len(w) <= CACHE_LENGTH)
-                    counts[2 * fold + toxic].update(words)
-                    docs.update(words.keys())
-        words = list(docs)
+                    counts[2 * fold + toxic].update(set(words_of(text)))
+        words = list(set().union(*counts))
         for at in range(0, len(words), 50_000):
             some = words[at : at + 50_000]
-            columns = [pa.array(some, pa.string()), *(pa.array([c[w] for w in some], pa.int64()) for c in (*counts, docs))]
+            columns = [pa.array(some, pa.string()), *(pa.array([c[w] for w in some], pa.int64()) for c in counts)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["word", *(f"n{i}" for i in range(2 * FOLDS)), "docs"]
+    names = ["word", *(f"n{i}" for i in range(2 * FOLDS))]
     made = found.select("toxic", "fold", "text").mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in names[1:]))
     return made.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:]))
 
@@ -288,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, fol
 
     Rows of one document with several labels count as toxic if one says so.
     Null labels and ids are left out, and ids whose crc32 modulo folds is
-    held_out_fold. The sample is bounded, see MAX_DOCS, its texts are read whole.
+    held_out_fold. The sample is bounded, see MAX_DOCS and MAX_CHARS, its texts are read whole and
+    all their words count.
     Without both classes every score is the share of toxic labels, 0 without labels.
     """
     import numpy as np
@@ -306,14 +313,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, fol
     picked = [r for label in (0, 1) for r in usable.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(MAX_DOCS).collect()]
     sample = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"] % FOLDS) for r in picked], "doc_id long, toxic int, fold int")
     # At most 2 * MAX_DOCS rows.
-    found = common.id_text(docs).join(F.broadcast(sample), "doc_id")
-    table = _counts(found).orderBy(F.desc("docs"), F.xxhash64("word"), "word").limit(MAX_WORDS).toArrow()
+    found = common.id_text(docs).where(F.length("text") <= MAX_CHARS).join(F.broadcast(sample), "doc_id")
+    table = _counts(found).toArrow()
     words = table.column("word").to_pylist()
     uses = np.array([table.column(f"n{i}").to_numpy() for i in range(2 * FOLDS)]).reshape(FOLDS, 2, -1)
     if not words or not (uses.sum((0, 2)) > 0).all():
         return none
     del table
-    x, y = _features(found, [fit_ratio(words, uses.sum(0) - uses[k]) for k in range(FOLDS)])
+    ratios = []
+    for k in range(FOLDS):
+        ratios.append(fit_ratio(words, uses.sum(0) - uses[k]))
+        common.release()
+    x, y = _features(found, ratios)
+    del ratios
     if not 0 < y.sum() < len(y):
         return none
     have = y.mean()
