@@ -31,10 +31,8 @@ OTHERS = 0.2
 #: Rounds of expectation and maximisation for the pieces' scores, from the vocabulary's own, which
 #: count as so many words at last.
 ROUNDS, PRIOR = 3, 1000
-#: Classes with models of their own; rarer ones share one more.
-MAX_CLASSES = 7
-#: Longest piece in characters.
-PIECE = 16
+#: Longest piece in characters that a vocabulary may have, and characters of a word that are looked up at a time.
+PIECE, STRIP = 16, 4096
 #: The end of a text among the tokens, which are never empty.
 END = b""
 
@@ -63,7 +61,9 @@ class Lattice:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 byte[int(piece[3:5], 16)] = w
-            elif len(piece) <= PIECE:
+            else:
+                if len(piece) > PIECE:
+                    raise ValueError(f"the vocabulary has a piece of {len(piece)} characters, more than {PIECE}")
                 h = np.full(1, self.start, np.uint64)
                 for c in reversed(piece):
                     h = self.longer(h, np.array([ord(c)], np.uint64))
@@ -98,16 +98,21 @@ class Lattice:
 
         found = np.zeros(len(words))
         for some, texts in self._alike(words):
+            if len(texts[-1]) > STRIP:
+                found[some] = [self._long(t) + self.stop - self.go for t in texts]
+                continue
             sizes, _, _, total = self._forward(texts)
             found[some] = total[np.arange(len(texts)), sizes] + self.stop - self.go
         return found / np.log(10)
 
     def expected(self, words: list[bytes]):
-        """How often each piece, and last a byte's character, is used by words, in expectation over their segmentations."""
+        """How often each piece, and last a byte's character, is used by words, in expectation over their segmentations.
+        Words longer than STRIP count as their parts of that length."""
         import numpy as np
 
         counts = np.zeros(len(self.prior))
         for _, texts in self._alike(words):
+            texts = [t[at : at + STRIP] for t in texts for at in range(0, len(t), STRIP)]
             sizes, arcs, places, total = self._forward(texts)
             width, rows = total.shape[1] - 1, np.arange(len(texts))
             rest = np.full(total.shape, -np.inf)
@@ -140,12 +145,28 @@ class Lattice:
             yield some, [texts[i] for i in some]
             at = to
 
-    def _forward(self, texts: list[str]):
-        """The texts' lengths, the arcs of each length by their end, their pieces, and the sums of all paths to each place."""
+    def _long(self, text: str) -> float:
+        """The sum of all paths through a text, strip by strip, as a logarithm."""
         import numpy as np
 
-        sizes = np.array(list(map(len, texts)))
-        width = int(sizes.max())
+        # The sums of paths to the last places, the latest first, are kept near 1.
+        last, scale = np.zeros(PIECE), 0.0
+        last[0] = 1
+        for lo in range(0, len(text), STRIP):
+            before = min(lo, PIECE - 1)
+            arcs, _ = self._arcs([text[lo - before : lo + STRIP]])
+            for shares in np.exp(np.concatenate([*arcs, *[np.full_like(arcs[0], -np.inf)] * (PIECE - len(arcs))]).T[before:]):
+                now = float(last @ shares)
+                scale += np.log(now)
+                last[1:] = last[:-1] / now
+                last[0] = 1
+        return scale
+
+    def _arcs(self, texts: list[str]):
+        """The arcs of each length by their end, and their pieces."""
+        import numpy as np
+
+        width = max(map(len, texts))
         codes = np.frombuffer("".join([t.ljust(width, "\0") for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), width)
         kinds, which = np.unique(codes, return_inverse=True)
         spelled = [sum(self.logs[-1] + self.byte_share[b] + self.go for b in chr(c).encode("utf-8", "surrogatepass")) for c in kinds]
@@ -163,6 +184,15 @@ class Lattice:
                 cost[:, n - 1 :] = np.where(place >= 0, self.logs[place] + self.go, -np.inf)
             arcs.append(np.logaddexp(cost, single) if n == 1 else cost)
             places.append(place)
+        return arcs, places
+
+    def _forward(self, texts: list[str]):
+        """The texts' lengths, the arcs of each length by their end, their pieces, and the sums of all paths to each place."""
+        import numpy as np
+
+        sizes = np.array(list(map(len, texts)))
+        width = int(sizes.max())
+        arcs, places = self._arcs(texts)
         total = np.full((len(texts), width + 1), -np.inf)
         total[:, 0] = 0
         for j in range(1, width + 1):
@@ -216,13 +246,13 @@ def _token_counts(rows: DataFrame, classes: int) -> DataFrame:
     return partial.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
 
 
-def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", class_col: str | None = "lang", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", class_col: str | None = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, max_classes: int = 64) -> DataFrame:
     """Scores every row of docs (doc_id, text), learning from those whose crc32 of the id modulo folds is not held_out.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; see
     the module for score and the README for base_score. A null text is empty, and
     an empty one has its end as only token; a null id counts as an empty one for the fold; a null class
-    is one of the rarer ones; repeated rows are scored and learned from each; without
+    is one of its own; more than max_classes are an error, as each has a column of counts; repeated rows are scored and learned from each; without
     training rows base_score is 0 for every text and score rests on the vocabulary
     alone; an empty table gives an empty one; other columns are ignored.
     """
@@ -232,9 +262,9 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", class_col: s
     label = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), label.alias("class"), out.alias("held_out"))
 
-    # Numbers of documents by class: the frequent classes are few, all others are one.
-    known = rows.where(~F.col("held_out")).groupBy("class").count().where("class is not null").orderBy(F.desc("count"), "class").limit(MAX_CLASSES).collect()
-    names = [r["class"] for r in known]
+    names = sorted(r["class"] for r in rows.where(~F.col("held_out") & F.col("class").isNotNull()).select("class").distinct().limit(max_classes + 1).collect())
+    if len(names) > max_classes:
+        raise ValueError(f"more than {max_classes} classes: name a coarser column, none, or a larger bound")
     index = F.coalesce(*(F.when(F.col("class") == n, k) for k, n in enumerate(names)), F.lit(len(names)))
     classes = len(names) + 1
     train = rows.where(~F.col("held_out")).select("text", index.cast("int").alias("k"))
@@ -298,7 +328,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", class_col: s
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["bucket", "word"])
 
     asked = dealt.mapInArrow(distinct, "bucket int, word binary")
-    answers = asked.join(table, "word", "left").select("bucket", "word", "spelled", *(F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in own), F.coalesce(every, F.lit(0)).alias("c"))
+    answers = asked.join(table, "word", "left").select("bucket", "word", "spelled", *(F.coalesce(c, F.lit(0)).alias(c) for c in own), F.coalesce(every, F.lit(0)).alias("c"))
 
     def meet(documents, words):
         import numpy as np
