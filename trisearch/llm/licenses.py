@@ -22,38 +22,126 @@ SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mit-0-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice-2": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache-2.0-copy": "You may obtain a copy of the License at",
+    "apache-2.0-law": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "apache-2.0-see": "See the License for the specific language governing permissions and limitations under the License.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-2.0-only-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl-2.1-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3.0-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-details": "See the GNU General Public License for more details.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
+    "lgpl-received": "You should have received a copy of the GNU Lesser General Public License along with this program.",
+    "agpl-received": "You should have received a copy of the GNU Affero General Public License along with this program.",
     "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
     "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc0-dedication": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "boost-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "unlicense-release": "This is free and unencumbered software released into the public domain.",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-bsd-2-clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-bsd-3-clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-mpl-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-gpl-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-gpl-2.0-or-later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "spdx-gpl-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx-gpl-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx-lgpl-2.1-or-later": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-agpl-3.0-or-later": "SPDX-License-Identifier: AGPL-3.0-or-later",
     "rights-reserved": "All rights reserved.",
 }
 
 #: Rules in order: a licence and the identifiers that must follow each other.
 RULES = [
+    ("MIT", ["mit-grant", "mit-condition", "mit-warranty", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-condition"]),
+    ("MIT-0", ["mit-0-grant", "mit-warranty"]),
+    ("ISC", ["isc-grant", "isc-warranty"]),
+    ("0BSD", ["0bsd-grant", "isc-warranty"]),
+    ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache-2.0-notice-2", "apache-2.0-copy"]),
+    ("Apache-2.0", ["apache-2.0-law", "apache-2.0-see"]),
+    ("AGPL-3.0-or-later", ["agpl-3.0-free"]),
+    ("LGPL-3.0-or-later", ["lgpl-3.0-free"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-free"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-2.0-or-later", ["gpl-2.0-free"]),
+    ("GPL-2.0-only", ["gpl-2.0-only-free"]),
     ("GPL-3.0", ["gpl-3.0-notice"]),
     ("GPL-2.0", ["gpl-2.0-notice"]),
     ("MPL-2.0", ["mpl-2.0-notice"]),
+    ("EPL-2.0", ["epl-2.0-notice"]),
+    ("BSL-1.0", ["boost-1.0-notice"]),
+    ("Unlicense", ["unlicense-release", "unlicense-grant"]),
+    ("Zlib", ["zlib-warranty"]),
+    ("Zlib", ["zlib-grant"]),
     ("Apache-2.0", ["apache-2.0-notice-2"]),
     ("Apache-2.0", ["apache-2.0-notice"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorsement"]),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("BSD", ["rights-reserved", "bsd-redistribution"]),
     ("BSD", ["bsd-redistribution"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4.0"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4.0"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-4.0"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-4.0"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-4.0"]),
+    ("CC-BY-4.0", ["cc-by-4.0"]),
+    ("CC0-1.0", ["cc0-dedication"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4.0-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4.0-notice"]),
     ("CC-BY-4.0", ["cc-by-4.0-notice"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-notice-2"]),
+    ("MIT", ["spdx-mit"]),
+    ("Apache-2.0", ["spdx-apache-2.0"]),
+    ("BSD-2-Clause", ["spdx-bsd-2-clause"]),
+    ("BSD-3-Clause", ["spdx-bsd-3-clause"]),
+    ("ISC", ["spdx-isc"]),
+    ("MPL-2.0", ["spdx-mpl-2.0"]),
+    ("GPL-2.0-only", ["spdx-gpl-2.0-only"]),
+    ("GPL-2.0-or-later", ["spdx-gpl-2.0-or-later"]),
+    ("GPL-3.0-only", ["spdx-gpl-3.0-only"]),
+    ("GPL-3.0-or-later", ["spdx-gpl-3.0-or-later"]),
+    ("LGPL-2.1-or-later", ["spdx-lgpl-2.1-or-later"]),
+    ("AGPL-3.0-or-later", ["spdx-agpl-3.0-or-later"]),
     ("all-rights-reserved", ["rights-reserved"]),
 ]
 
@@ -73,10 +161,16 @@ STEPS = [
 ]
 
 
+#: The number of an item of a list, after a sentence's end or a colon and a line end: H and C as in the first STEPS.
+ITEM = r"([HC][ \t\r]*\n[ \t\r\n*#/;%-]*+)\(?[0-9]{1,2}(?:H|\))(?=[ \t])"
+
+
 def broken(text: Column) -> Column:
-    """The words and breaks of a text, with a break at both ends."""
+    """The words and breaks of a text, with a break at both ends, without the numbers of lists."""
     found = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    for step, by in STEPS:
+    for i, (step, by) in enumerate(STEPS):
+        if i == 2:
+            found = F.regexp_replace(found, ITEM, "$1")
         found = F.regexp_replace(found, step, by)
     return found
 
