@@ -10,7 +10,8 @@ its prefix for k = 1. The boundary is where enumerating costs as much as scannin
 A list with many sets isn't expanded into all pairs. Rounds compare its sets with
 a few of them; what they link is one component afterwards, and at last all pairs of
 sets that no round put together, of like sizes, are compared. A bitmap of each set bounds
-the overlap from above; pairs within the bound are verified with the sets.
+the overlap from above; pairs within the bound are verified with the sets. The list of a shingle that
+very many texts share stands in segments, and no step has all of it in one task.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ BLOCK = 4096
 MIN_BITMAP, MAX_BITMAP = 1 << 8, 1 << 14
 #: Sets of a list with which each round compares the others, before the rest is compared.
 HUBS = (8, 8, 16)
+#: Steps of the components between rounds.
+LABEL_STEPS = 2
+#: Sets of a segment of a list, about.
+SEGMENT = 1 << 15
 #: Words of which a Python worker remembers the hash; beyond, it starts anew.
 CACHE_WORDS = 300_000
 #: Ids that are broadcast to select texts (8 bytes each); beyond, a shuffle joins them.
@@ -71,11 +76,19 @@ class Shingler:
         return np.unique(x)
 
 
-def node_of(shingles) -> int:
-    """The name of a set: 63 bits of a hash of all its shingles."""
+def names_of(shingles) -> tuple[int, int]:
+    """Two hashes, of 63 bits each, of all shingles of a set."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1
+    found = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return found & (1 << 63) - 1, found >> 65
+
+
+def node_of(shingles, twice=frozenset(), bits: int = 63) -> int:
+    """The name of a set: its first hash, cut to some bits, or its second where that is one of twice."""
+    node, check = names_of(shingles)
+    node &= (1 << bits) - 1
+    return check if node in twice else node
 
 
 def bitmap_of(shingles) -> bytes:
@@ -115,23 +128,27 @@ def slots(shingles, bits: int):
 
 
 def prefix_keys(shingles, level, boundary: int, percent: int = PERCENT):
-    """(keys, places): what a set stands under, see the module, and where in its
-    order the shingle of the key is, 0 for pairs."""
+    """(keys, places, levels): what a set stands under, see the module, where in its
+    order the shingle of the key is, 0 for pairs, and how frequent the key can be."""
     import numpy as np
 
     n = len(shingles)
     bits = len(level).bit_length() - 1
-    ordered = shingles[np.argsort(level[slots(shingles, bits)], kind="stable")]
+    found = level[slots(shingles, bits)]
+    order = np.argsort(found, kind="stable")
+    ordered, found = shingles[order], found[order]
     first = n - needed(n, percent) + 1
-    keys, places = [], []
+    keys, places, levels = [ordered[:0]], [np.zeros(0, np.int32)], [found[:0]]
     if n <= boundary and (k := min(n, first + 1)) > 1:
         i, j = np.triu_indices(k, 1)
         keys.append((ordered[i] * np.uint64(0xBF58476D1CE4E5B9) + ordered[j]) * np.uint64(0x94D049BB133111EB))
         places.append(np.zeros(len(i), np.int32))
+        levels.append(found[i])  # ascending, so i's is the lower one
     if n > boundary * percent // 100:
         keys.append(ordered[:first])
         places.append(np.arange(first, dtype=np.int32))
-    return (np.concatenate(keys), np.concatenate(places)) if keys else (ordered[:0], np.zeros(0, np.int32))
+        levels.append(found[:first])
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(levels)
 
 
 def boundary_by_cost(counts, level, percent: int = PERCENT) -> int:
@@ -151,29 +168,30 @@ def boundary_by_cost(counts, level, percent: int = PERCENT) -> int:
     return size
 
 
-def _scan(rows: DataFrame, words: int, bits: int) -> DataFrame:
-    """A row (doc_id, text_hash, n, node, bitmap, f0 to f3) for each of rows (doc_id, text, text_hash),
-    and for each task and block of counters one with (block, counts), a byte each."""
+def _scan(rows: DataFrame, words: int, bits: int, name_bits: int) -> DataFrame:
+    """A row (doc_id, text_hash, n, node, check, bitmap, f0 to f3) for each of rows (doc_id, text, text_hash),
+    and for each task and block of counters one with (block, counts), the low bytes of all before the high ones."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("bitmap", pa.binary()), *((f"f{i}", pa.int64()) for i in range(4)), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("check", pa.int64()), ("bitmap", pa.binary()), *((f"f{i}", pa.int64()) for i in range(4)), ("block", pa.int32()), ("counts", pa.binary())])
         shingler, counts, seen = Shingler(words), np.zeros(1 << bits, np.int32), set()
         for batch in batches:
             for part in common.chunks(batch, limit=2 << 20):
                 found = [shingler(t) for t in part.column(1).to_pylist()]
-                nodes = [node_of(x) if len(x) else None for x in found]
+                nodes = [node_of(x, bits=name_bits) if len(x) else None for x in found]
+                checks = [names_of(x)[1] if len(x) else None for x in found]
                 bitmaps = [bitmap_of(x) for x in found]
                 none = np.array([x is None for x in nodes])
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(map(len, found)), pa.int32()), pa.array(nodes, pa.int64()), pa.array(bitmaps, pa.binary()), *(pa.array(c, mask=none) for c in folded(bitmaps).T.copy()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-                new = [x for x, node in zip(found, nodes, strict=True) if node is not None and node not in seen and not seen.add(node)]  # copies do not make a shingle frequent
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(map(len, found)), pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bitmaps, pa.binary()), *(pa.array(c, mask=none) for c in folded(bitmaps).T.copy()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                new = [x for x, name in zip(found, checks, strict=True) if name is not None and name not in seen and not seen.add(name)]  # copies do not make a shingle frequent
                 if new:
                     at, times = np.unique(slots(np.concatenate(new), bits), return_counts=True)
                     counts[at] += times.astype(np.int32)
-        blocks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BLOCK)
+        blocks = np.minimum(counts, 65535).astype("<u2").view(np.uint8).reshape(-1, BLOCK, 2).transpose(0, 2, 1).reshape(-1, 2 * BLOCK)
         some = np.flatnonzero(blocks.any(1))
         for at in range(0, len(some), 256):
             part = some[at : at + 256]
@@ -181,11 +199,11 @@ def _scan(rows: DataFrame, words: int, bits: int) -> DataFrame:
             none |= {"block": pa.array(part, pa.int32()), "counts": pa.array([blocks[i].tobytes() for i in part], pa.binary())}
             yield pa.RecordBatch.from_arrays(list(none.values()), schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, node long, bitmap binary, f0 long, f1 long, f2 long, f3 long, block int, counts binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, node long, check long, bitmap binary, f0 long, f1 long, f2 long, f3 long, block int, counts binary")
 
 
 def _levels(scanned: DataFrame, percent: int, bits: int):
-    """(level of each counter, boundary). The counters' sums have a fixed size."""
+    """(level of each counter, segments of a list by the level of its key, boundary). The counters' sums have a fixed size."""
     import numpy as np
 
     def run(batches):
@@ -195,7 +213,8 @@ def _levels(scanned: DataFrame, percent: int, bits: int):
         sums = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(c, np.uint8).astype(np.int64)
+                low, high = np.frombuffer(c, np.uint8).reshape(2, -1).astype(np.int64)
+                sums[b] = sums.get(b, 0) + low + (high << 8)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
 
     counts = np.zeros((1 << bits) // BLOCK * BLOCK, np.int32).reshape(-1, BLOCK)
@@ -208,11 +227,13 @@ def _levels(scanned: DataFrame, percent: int, bits: int):
     level = np.zeros(len(counts), np.int8)
     for at in range(0, len(counts), 1 << 16):
         level[at : at + (1 << 16)] = np.searchsorted(steps, counts[at : at + (1 << 16)], "right")
-    return level, boundary_by_cost(counts, level, percent)
+    # A counter of level 0 has what comes together by chance.
+    segments = np.concatenate([[1], np.maximum(1, np.ceil((np.minimum(steps[1:], 2.0**31) - mean) / SEGMENT))]).astype(np.int64)
+    return level, segments, boundary_by_cost(counts, level, percent)
 
 
-def _lists(rows: DataFrame, level, boundary: int, words: int, percent: int) -> DataFrame:
-    """(key, node, n, place): the lists with more than one set."""
+def _lists(rows: DataFrame, level, segments, boundary: int, words: int, percent: int, naming: dict) -> DataFrame:
+    """(key, segment, node, n, place): the lists with more than one set; segment is 0 where a list has one only."""
     sent = rows.sparkSession.sparkContext.broadcast(level)  # a byte for each counter
 
     def run(batches):
@@ -225,21 +246,23 @@ def _lists(rows: DataFrame, level, boundary: int, words: int, percent: int) -> D
                 found, nodes, sizes = [], [], []
                 for text in part.column(1).to_pylist():
                     x = shingler(text)
-                    if len(x) and (node := node_of(x)) not in seen:
+                    if len(x) and (node := node_of(x, **naming)) not in seen:
                         seen.add(node)
                         found.append(prefix_keys(x, sent.value, boundary, percent))
                         nodes.append(node)
                         sizes.append(len(x))
                 if not found:
                     continue
-                each = [len(k) for k, _ in found]
-                columns = np.concatenate([k for k, _ in found]).view(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each), np.concatenate([p for _, p in found])
-                for at in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["key", "node", "n", "place"])
+                keys, places, levels = (np.concatenate(x) for x in zip(*found, strict=True))
+                each = [len(k) for k, _, _ in found]
+                names, many = np.repeat(np.array(nodes, np.int64), each), segments[levels]
+                columns = keys.view(np.int64), np.where(many > 1, 1 + names % many, 0).astype(np.int32), names, np.repeat(np.array(sizes, np.int32), each), places
+                for at in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["key", "segment", "node", "n", "place"])
 
-    order = Window.partitionBy("key").orderBy("node")
-    entries = rows.mapInArrow(run, "key long, node long, n int, place int").withColumn("last", F.lag("node").over(order)).where("last is null or last <> node").drop("last")
-    return entries.withColumns({"last": F.lag("node").over(order), "next": F.lead("node").over(order)}).where("last is not null or next is not null").drop("last", "next")
+    order = Window.partitionBy("key", "segment").orderBy("node")
+    entries = rows.mapInArrow(run, "key long, segment int, node long, n int, place int").withColumn("last", F.lag("node").over(order)).where("last is null or last <> node").drop("last")
+    return entries.withColumns({"last": F.lag("node").over(order), "next": F.lead("node").over(order)}).where("segment > 0 or last is not null or next is not null").drop("last", "next")
 
 
 def _like(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
@@ -272,7 +295,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitmapa", "bitmapb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int, naming: dict) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity is as asked. pairs is a stored table."""
 
     def sets(batches):
@@ -282,7 +305,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, p
         for batch in batches:
             for part in common.chunks(batch):
                 found = [s for t in part.column(0).to_pylist() if len(s := shingler(t))]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s, **naming) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "items"])
 
     def run(batches):
         import numpy as np
@@ -310,51 +333,83 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, p
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "itemsa", "itemsb").mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _by_hubs(left: DataFrame, hubs: int, turn: int, percent: int, cut: bool) -> DataFrame:
+    """Pairs (a, b) of a list's sets with a few of them. cut: whether lists have segments."""
+    marked = left.withColumn("h", F.xxhash64("node", F.lit(turn)))
+    # The sets with most links so far are the likeliest to link to others.
+    order = Window.partitionBy("key", "segment").orderBy(F.desc("degree"), "h", "node")
+    one = F.struct("node", "n", "place", "component")
+    hub = F.when(F.row_number().over(order) <= hubs, one)
+    fits = lambda o: (o["component"] != F.col("component")) & _like(F.col("n"), o["n"], F.col("place"), o["place"], percent)
+    pairs = lambda rows: rows.select("node", F.explode(F.transform(F.filter("hubs", fits), lambda o: o["node"])).alias("o")).select(*_pair("node", "o"))
+    before = marked.withColumn("hub", hub).withColumn("hubs", F.collect_list("hub").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    found = pairs(before)
+    if cut:
+        # The first segment's are those of the other ones, too; stored, so that the join can be split.
+        first = marked.where("segment = 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs)
+        first = common.stored(first.groupBy("key").agg(F.collect_list(one).alias("hubs")), "hubs")
+        found = found.union(pairs(marked.where("segment > 1").join(first, "key")))
+    return found
+
+
+def _all_others(left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of a set outside its list's largest component with a set of another one."""
+    # Stored, so that the joins with long lists can be split.
+    core = left.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("core"))
+    core = common.stored(core, "cores")
+    left = left.join(nodes.select("node", *(f"f{i}" for i in range(4))), "node")
+    outside = left.join(core, "key").where("component <> core").select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "component", "f0", "f1", "f2", "f3")))
+    outside = common.stored(outside, "outside")
+    apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}2"))) for i in range(4)), F.lit(0))
+    shared = (F.col("n") + F.col("n2") - apart) / 2  # at most
+    possible = shared * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    fits = (left["key"] == outside["key"]) & (F.col("component") != F.col("component2")) & _like(F.col("n"), F.col("n2"), F.col("place"), F.col("place2"), percent) & possible
+    return left.join(outside, fits).select(*_pair("node", "node2"))
+
+
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, name_bits: int = 63) -> DataFrame:
     """(doc_id, text_hash, n, group_id, component_id) of every row of docs (doc_id, text), see linked().
 
     text_hash is xxhash64 of the text; group_id names the component and is null for sets without shingles.
+    name_bits: of the hash that names a set; sets of one name get others.
     """
     spark = docs.sparkSession
     rows = common.id_text(docs).withColumn("text_hash", F.xxhash64("text"))
     bits = min(MAX_BITS, max(MIN_BITS, round(math.log2(max(common.text_bytes(rows), 1) / 48))))
-    scanned = common.stored(_scan(rows, words, bits), "scan")
+    scanned = common.stored(_scan(rows, words, bits, name_bits), "scan")
     members = scanned.where("block is null").drop("block", "counts")
-    nodes = common.stored(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(4))), "nodes")
-    level, boundary = _levels(scanned, percent, bits)
-    lists = common.stored(_lists(rows.drop("text_hash"), level, boundary, words, percent), "lists")
+
+    def named(members: DataFrame) -> DataFrame:
+        every = [F.min("doc_id").alias("rep"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(4))]
+        return common.stored(members.where("node is not null").groupBy("node").agg(*every), "nodes")
+
+    nodes = named(members)
+    # Names of more than one set: of 10^10 sets about five.
+    twice = frozenset(r["node"] for r in nodes.where("low <> high").select("node").collect())
+    if twice:
+        other = spark.createDataFrame([(x,) for x in twice], "node long").withColumn("again", F.lit(True))
+        members = members.join(other, "node", "left").withColumn("node", F.when(F.col("again"), F.col("check")).otherwise(F.col("node"))).drop("again")
+        nodes = named(members)
+    naming = {"twice": twice, "bits": name_bits}
+    level, segments, boundary = _levels(scanned, percent, bits)
+    lists = common.stored(_lists(rows.drop("text_hash"), level, segments, boundary, words, percent, naming), "lists")
+    cut = not lists.where("segment > 0").isEmpty()
 
     links, labels, tried = None, None, None
-    own = Window.partitionBy("key")
+    own = Window.partitionBy("key", "segment")
     for turn, hubs in enumerate([*HUBS, None]):
-        if labels is None:
+        added = False
+        if links is None:
             left = lists.withColumn("component", F.col("node")).withColumn("degree", F.lit(0))
         else:
-            # Lists whose sets are not all of one component yet.
+            # A round needs no more than that sets of one label are connected; what comes after all rounds is costly where they are not of one.
+            labels = common.stored(components(links, LABEL_STEPS if hubs else None), "labels")
+            # Lists whose sets are not all of one component yet, and all that are in segments.
             degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
             known = labels.join(degrees, "node", "left")
             left = lists.join(known, "node", "left").withColumns({"component": F.coalesce("component", "node"), "degree": F.coalesce("degree", F.lit(0))})
-            left = left.withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)}).where("low <> high").drop("low", "high")
-        if hubs:
-            # The sets with most links so far are the likeliest to link to others.
-            order = Window.partitionBy("key").orderBy(F.desc("degree"), "h", "node")
-            marked = left.withColumn("h", F.xxhash64("node", F.lit(turn)))
-            hub = F.when(F.row_number().over(order) <= hubs, F.struct("node", "n", "place", "component"))
-            before = marked.withColumn("hub", hub).withColumn("hubs", F.collect_list("hub").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-            fits = lambda o: (o["component"] != F.col("component")) & _like(F.col("n"), o["n"], F.col("place"), o["place"], percent)
-            found = before.select("node", F.explode(F.transform(F.filter("hubs", fits), lambda o: o["node"])).alias("o")).select(*_pair("node", "o"))
-        else:
-            # Every pair of a set outside its list's largest component with a set of another one.
-            sizes = left.groupBy("key", "component").count()
-            core = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("core"))
-            left = left.join(nodes.select("node", *(f"f{i}" for i in range(4))), "node")
-            outside = left.join(core, "key").where("component <> core").select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "component", "f0", "f1", "f2", "f3")))
-            apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}2"))) for i in range(4)), F.lit(0))
-            shared = (F.col("n") + F.col("n2") - apart) / 2  # at most
-            possible = shared * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-            fits = (left["key"] == outside["key"]) & (F.col("component") != F.col("component2")) & _like(F.col("n"), F.col("n2"), F.col("place"), F.col("place2"), percent) & possible
-            found = left.join(outside, fits).select(*_pair("node", "node2"))
-        found = found.distinct()
+            left = left.withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)}).where("segment > 0 or low <> high").drop("low", "high")
+        found = (_by_hubs(left, hubs, turn, percent, cut) if hubs else _all_others(left, nodes, percent)).distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         found = common.stored(found, "pairs")
@@ -362,16 +417,20 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             continue
         tried = found if tried is None else tried.union(found)
         possible = common.stored(_bounded(found, nodes, percent), "possible")
-        new = common.stored(_verified(possible, rows, nodes, words, percent), "linked")
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
+        new = common.stored(_verified(possible, rows, nodes, words, percent, naming), "linked")
+        if added := not new.isEmpty():
+            links = new if links is None else links.union(new)
+    if added:
         labels = common.stored(components(links), "labels")
 
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")
-    least = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rep")
-    least = least.withColumn("component_id", F.min("rep").over(Window.partitionBy("component"))).select("node", F.col("component").alias("group_id"), "component_id")
+    # Both are stored, so that the joins with a large component's or a repeated set's rows can be split.
+    reached = labels.join(nodes.select("node", "rep"), "node")
+    lows = common.stored(reached.groupBy(F.col("component").alias("group_id")).agg(F.min("rep").alias("component_id")), "lows")
+    reached = reached.join(lows, F.col("component") == F.col("group_id")).select("node", "group_id", "component_id")
+    alone = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("group_id"), F.col("rep").alias("component_id"))
+    least = common.stored(reached.unionByName(alone), "groups")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return members.join(least, "node", "left").select("doc_id", "text_hash", "n", "group_id", component.alias("component_id"))
 
@@ -386,7 +445,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     has no shingles and links with nothing, so its component is its own id. Null ids take part and have
     the component of what they link to, null if that has no other id; repeated
     rows are each returned; an empty table gives an empty one; other columns are ignored.
-    Sets are told apart by 63-bit hashes and shingles by 64-bit ones.
+    Sets are told apart by 126 bits of hashes and shingles by 64-bit ones.
     """
     return grouped(docs, words, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
@@ -395,13 +454,18 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """docs, all columns, with one row of each component: that of the smallest
     id, null being the largest, and of rows of one id that of the smallest hash of
     the text; of rows equal in both any one. Rows without shingles all stay."""
-    found = common.stored(grouped(docs, words, percent), "groups")
+    found = common.stored(grouped(docs, words, percent), "members").where("group_id is not null")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = found.where("group_id is not null").groupBy("group_id").agg(F.min(rank).alias("best"))
-    rows = found.join(best, "group_id").groupBy("doc_id", "text_hash", (rank == F.col("best")).alias("is_best")).count()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_hash"))
-    named = lambda x: x.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    repeated = rows.where("is_best and count > 1")
-    gone = rows.where("not is_best").unionByName(repeated)
-    once = docs.join(named(repeated), same, "left_semi").withColumn("gone_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "gone_hash"]).drop("gone_hash")
-    return docs.join(named(gone), same, "left_anti").unionByName(once)
+    best = found.groupBy("group_id").agg(F.min(rank).alias("best")).select(F.col("best.doc_id").alias("d"), F.col("best.text_hash").alias("h"), F.lit(True).alias("is_best"))
+    counted = found.groupBy("doc_id", "text_hash").count()
+    marked = counted.join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    # Rows of one id and text are all gone or all but one.
+    gone = common.stored(marked.where("is_best is null or count > 1").select("doc_id", "text_hash", F.col("is_best").isNotNull().alias("repeated")), "gone")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.join(*common.same_row(docs, gone.drop("repeated"), text_hash), "left_anti")
+    repeated = gone.where("repeated").drop("repeated")
+    if repeated.isEmpty():
+        return kept
+    (name,) = common.fresh(docs, "text_hash")
+    once = docs.join(*common.same_row(docs, repeated, text_hash), "left_semi").withColumn(name, text_hash).dropDuplicates(["doc_id", name]).drop(name)
+    return kept.unionByName(once)
