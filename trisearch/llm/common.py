@@ -18,6 +18,8 @@ TASK_BYTES = 24 << 20
 BATCH_ROWS = 4096
 #: Bytes of an Arrow batch, and rows that the Parquet reader decodes together.
 BATCH_BYTES, READ_ROWS = 2 << 20, 512
+#: Pairs of an id and a hash that are broadcast to rows (16 bytes each).
+BROADCAST_KEYS = 1_000_000
 #: Bytes of text that a Python function takes from one batch at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -77,9 +79,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def same_row(docs: DataFrame, keys: DataFrame, text_hash: Column) -> tuple[DataFrame, Column]:
-    """keys (doc_id, text_hash) under names that docs lacks, and the condition that joins docs with them."""
+    """keys (doc_id, text_hash), a stored table, under names that docs lacks, broadcast if they are
+    few, so that texts are not shuffled; and the condition that joins docs with them."""
     a, b = fresh(docs, "key_id", "key_hash")
-    return keys.toDF(a, b), F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (text_hash == F.col(b))
+    keys = keys.toDF(a, b)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (text_hash == F.col(b))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -206,5 +206,5 @@ def _sent(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in whose text nothing leaks."""
-    found = leaks(docs, benchmark).select("doc_id", "text_hash").distinct()
+    found = common.stored(leaks(docs, benchmark).select("doc_id", "text_hash").distinct(), "leaks")
     return docs.join(*common.same_row(docs, found, F.xxhash64("text")), "left_anti")
