@@ -1,13 +1,16 @@
 """The pipeline against a plain version of its stages."""
 
 import hashlib
+import pickle
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trisearch.llm import queries, toxicity
+from trisearch.llm import bpe, common, jaccard_join, queries, toxicity
 
 
 def write(spark, folder, **tables):
@@ -51,3 +54,31 @@ def test_pipeline(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_operators_keep_no_memory_of_each_other(spark, monkeypatch):
+    """A Python worker that has encoded words scores or compares texts later."""
+    docs = spark.createDataFrame([(1, "ba do ki")], "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.append(f) or self)
+    monkeypatch.setattr(common, "_loaded", {})
+
+    def run(batch):
+        list(made[-1](iter([pa.RecordBatch.from_pydict(batch)])))
+
+    batch = {"doc_id": [1], "text": ["ba do ki"]}
+    bpe.round_trip(docs, P.path("byte_bpe_50k.json"))
+    run(batch)
+    run(batch)
+    assert list(common._loaded) and list(common._loaded)[0][0] == "bpe"  # its own stays from task to task
+    toxicity.keep_ordinary(docs, toxicity.Classifier(None, None, 0.0, 0.0))
+    run(batch)
+    assert not common._loaded
+    common.once(("other", 1), object)
+    jaccard_join._scan(docs, 5, 14, 63)
+    run(batch | {"text_hash": [1]})
+    assert not common._loaded
+    # As Spark sends it: the worker's own module is meant.
+    common.once(("other", 1), object)
+    assert list(pickle.loads(cloudpickle.dumps(common.alone(lambda batches: iter(batches))))([2])) == [2]
+    assert not common._loaded

@@ -168,7 +168,7 @@ def _map(docs: DataFrame, vocabulary: str, row, schema: str) -> DataFrame:
                 columns = [pa.array(c, f.type) for c, f in zip(made, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *(f.name for f in fields)])
 
-    return common.id_text(docs).mapInArrow(run, f"doc_id long, {schema}")
+    return common.id_text(docs).mapInArrow(common.alone(run, ("bpe", sent.value[0])), f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -196,7 +196,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 texts = [codec.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(common.alone(run, ("bpe", sent.value[0])), "doc_id long, text string")
 
 
 def _round_trip(codec: BpeCodec, text: str):

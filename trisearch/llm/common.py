@@ -131,12 +131,16 @@ def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES):
         at = to
 
 
-def release() -> None:
-    """Gives memory of dropped objects back to the system."""
+def release(collect: bool = True) -> None:
+    """Gives memory of dropped objects back to the system; collect: of those in cycles, too."""
     import ctypes
     import gc
 
-    gc.collect()
+    import pyarrow as pa
+
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -144,6 +148,28 @@ def release() -> None:
 _loaded: dict = {}
 
 
+def keep_only(keys) -> None:
+    """Drops what once() keeps under other keys."""
+    if others := _loaded.keys() - set(keys):
+        for key in others:
+            del _loaded[key]
+        release()
+
+
+def alone(run, *keys):
+    """run, a function of batches, as the only one that has memory in its Python worker: before it, what once()
+    keeps under other keys goes, since workers live on from one operator to the next; afterwards what run has dropped."""
+
+    def only(batches):
+        keep_only(keys)
+        try:
+            yield from run(batches)
+        finally:
+            release(collect=False)
+
+    return only
+
+
 def once(key, make):
     """make(), kept for later tasks of the same Python worker; holds the last few only."""
     if key not in _loaded:

@@ -199,7 +199,7 @@ def _scan(rows: DataFrame, words: int, bits: int, name_bits: int) -> DataFrame:
             none |= {"block": pa.array(part, pa.int32()), "counts": pa.array([blocks[i].tobytes() for i in part], pa.binary())}
             yield pa.RecordBatch.from_arrays(list(none.values()), schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, node long, check long, bitmap binary, f0 long, f1 long, f2 long, f3 long, block int, counts binary")
+    return rows.mapInArrow(common.alone(run), "doc_id long, text_hash long, n int, node long, check long, bitmap binary, f0 long, f1 long, f2 long, f3 long, block int, counts binary")
 
 
 def _levels(scanned: DataFrame, percent: int, bits: int):
@@ -261,7 +261,7 @@ def _lists(rows: DataFrame, level, segments, boundary: int, words: int, percent:
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["key", "segment", "node", "n", "place"])
 
     order = Window.partitionBy("key", "segment").orderBy("node")
-    entries = rows.mapInArrow(run, "key long, segment int, node long, n int, place int").withColumn("last", F.lag("node").over(order)).where("last is null or last <> node").drop("last")
+    entries = rows.mapInArrow(common.alone(run), "key long, segment int, node long, n int, place int").withColumn("last", F.lag("node").over(order)).where("last is null or last <> node").drop("last")
     return entries.withColumns({"last": F.lag("node").over(order), "next": F.lead("node").over(order)}).where("segment > 0 or last is not null or next is not null").drop("last", "next")
 
 
@@ -292,7 +292,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(100 * shared >= percent * (n + m - shared)))
 
     one = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"bitmap{x}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitmapa", "bitmapb").mapInArrow(run, "a long, b long")
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitmapa", "bitmapb").mapInArrow(common.alone(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int, naming: dict) -> DataFrame:
@@ -328,9 +328,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, p
     few = pairs.count() <= BROADCAST_IDS // 2
     ids = wanted.select(F.col("doc_id").alias("rep"))
     texts = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    found = texts.mapInArrow(sets, "node long, items binary").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    found = texts.mapInArrow(common.alone(sets), "node long, items binary").join(ends, "node", "left_semi").dropDuplicates(["node"])
     one = lambda x: found.select(F.col("node").alias(x), F.col("items").alias(f"items{x}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "itemsa", "itemsb").mapInArrow(run, "a long, b long")
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "itemsa", "itemsb").mapInArrow(common.alone(run), "a long, b long")
 
 
 def _by_hubs(left: DataFrame, hubs: int, turn: int, percent: int, cut: bool) -> DataFrame:

@@ -264,7 +264,7 @@ def _counts(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["word", *(f"n{i}" for i in range(2 * FOLDS))]
-    made = found.select("toxic", "fold", "text").mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in names[1:]))
+    made = found.select("toxic", "fold", "text").mapInArrow(common.alone(run), "word string, " + ", ".join(f"{n} long" for n in names[1:]))
     return made.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:]))
 
 
@@ -285,7 +285,7 @@ def _features(found: DataFrame, ratios: list[Ratio]):
                 yield pa.RecordBatch.from_arrays([*map(pa.array, x.T.copy()), pa.array(toxic, pa.int32())], names=["x0", "x1", "x2", "toxic"])
 
     # Three numbers and a label for each document of the sample.
-    rows = found.select("toxic", "fold", "text").mapInArrow(run, "x0 double, x1 double, x2 double, toxic int").toArrow()
+    rows = found.select("toxic", "fold", "text").mapInArrow(common.alone(run), "x0 double, x1 double, x2 double, toxic int").toArrow()
     return np.column_stack([rows.column(f"x{i}").to_numpy() for i in range(3)]), rows.column("toxic").to_numpy().astype(float)
 
 
@@ -351,7 +351,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
                 scores = score([words_of(t) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, score double")
+    return common.id_text(docs).mapInArrow(common.alone(run), "doc_id long, score double")
 
 
 def keep_ordinary(docs: DataFrame, classifier: Classifier, threshold: float = 0.3) -> DataFrame:
@@ -368,4 +368,4 @@ def keep_ordinary(docs: DataFrame, classifier: Classifier, threshold: float = 0.
                 yield part.filter(pa.array(score([words_of(t or "") for t in texts]) < threshold))
 
     common.small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.alone(run), docs.schema)
