@@ -82,3 +82,17 @@ def test_operators_keep_no_memory_of_each_other(spark, monkeypatch):
     common.once(("other", 1), object)
     assert list(pickle.loads(cloudpickle.dumps(common.alone(lambda batches: iter(batches))))([2])) == [2]
     assert not common._loaded
+
+
+def test_training_starts_no_other_workers(spark, monkeypatch):
+    """Rows of a Python list go through workers apart from those of batches, and an executor has both."""
+    docs = spark.createDataFrame([(i, "ba do scum" if i % 2 else "ba do ki") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+
+    def parallelize(*args, **kwargs):
+        raise AssertionError("rows of a list")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", parallelize)
+    found = toxicity.train(docs, labels)
+    ordinary, toxic = found.score([["ba", "ki"], ["ba", "scum"]])
+    assert found.ratio and ordinary < toxic

@@ -299,6 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, fol
     Without both classes every score is the share of toxic labels, 0 without labels.
     """
     import numpy as np
+    import pyarrow as pa
 
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -311,8 +312,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, fol
     if not 0 < share < 1:
         return none
     picked = [r for label in (0, 1) for r in usable.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(MAX_DOCS).collect()]
-    sample = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"] % FOLDS) for r in picked], "doc_id long, toxic int, fold int")
-    # At most 2 * MAX_DOCS rows.
+    # At most 2 * MAX_DOCS rows; from Arrow, as a list's rows would go through a second set of Python workers, which stays.
+    columns = {"doc_id": pa.array([r["doc_id"] for r in picked], pa.int64()), "toxic": pa.array([r["toxic"] for r in picked], pa.int32()), "fold": pa.array([r["h"] % FOLDS for r in picked], pa.int32())}
+    sample = spark.createDataFrame(pa.table(columns))
     found = common.id_text(docs).where(F.length("text") <= MAX_CHARS).join(F.broadcast(sample), "doc_id")
     table = _counts(found).toArrow()
     words = table.column("word").to_pylist()
