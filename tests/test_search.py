@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trisearch.engine import SearchOptions, search_files
 from trisearch.operators import context, filters, formats, match, postings
@@ -135,3 +136,13 @@ def test_formats(corpus, rows):
     budget = rows(formats.within_budget(blocks, results, 5))
     assert [(r[0], r[3], r[4]) for r in budget] == [("a.rs", 1, 1)]
     assert [r[0] for r in rows(formats.within_budget(blocks, results, 10_000))] == ["a.rs", "b.xyz"]
+
+
+def test_trigrams_in_sql_of_long_texts(spark, rows):
+    """What a text costs grows with its length, not with its square; bytes that are no UTF-8 count as they are."""
+    long = "".join(random.Random(3).choices("abcdeé", k=600_000))
+    files = spark.createDataFrame([(1, long), (2, "ab"), (3, None), (4, "aaaa")], "file_id long, content string")
+    files = files.unionByName(spark.sql("SELECT 5L AS file_id, CAST(X'61FF6263' AS STRING) AS content"))
+    plain = postings.extract(files).selectExpr("file_id", "lpad(hex(g), 6, '0') AS g")
+    made = files.select("file_id", F.explode(postings.trigrams_sql(F.col("content"))).alias("g"))
+    assert rows(made) == rows(plain) and (5, "61FF62") in rows(made)

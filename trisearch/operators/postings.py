@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from ..plans.trigrams import Query
 
 
+#: Places of a text whose trigrams are made distinct before those of the whole text are.
+SPAN = 1 << 15
+
+
 def trigrams_sql(text: Column) -> Column:
-    """The distinct trigrams of a text's bytes as six hexadecimal digits, in built-in functions."""
-    data = F.encode(text, "utf-8")
-    windows = F.transform(F.sequence(F.lit(1), F.octet_length(text) - 2), lambda i: F.hex(F.substring(data, i, 3)))
-    return F.when(F.octet_length(text) >= 3, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    """The distinct trigrams of a text's bytes as six hexadecimal digits, in built-in functions. The
+    bytes are a lambda's argument: what a lambda makes itself is made again for each place."""
+
+    def windows(data: Column) -> Column:
+        last = F.octet_length(data) - 2
+        span = lambda first: F.array_distinct(F.transform(F.sequence(first, F.least(first + (SPAN - 1), last)), lambda i: F.hex(F.substring(data, i, 3))))
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), last, F.lit(SPAN)), span)))
+
+    made = F.get(F.transform(F.array(text.cast("binary")), windows), F.lit(0))
+    return F.when(F.octet_length(text) >= 3, made).otherwise(F.array().cast("array<string>"))
 
 
 #: Bytes of contents whose trigrams are sorted together.
