@@ -146,3 +146,12 @@ def test_trigrams_in_sql_of_long_texts(spark, rows):
     plain = postings.extract(files).selectExpr("file_id", "lpad(hex(g), 6, '0') AS g")
     made = files.select("file_id", F.explode(postings.trigrams_sql(F.col("content"))).alias("g"))
     assert rows(made) == rows(plain) and (5, "61FF62") in rows(made)
+
+
+def test_pages_of_one_address_keep_their_definitions(spark, tmp_path, rows):
+    from trisearch import queries
+
+    html = ["<b>\nvar t=1; function track(x)\n", "<i>\nvar t=2;\n", "<i>\nvar t=2;\n", "none"]
+    spark.createDataFrame([(i, "https://a.example/x", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = rows(queries.queries()["find_definitions"](spark, str(tmp_path)))
+    assert found == [("https://a.example/x", 2, line) for line in ("var t=1; function track(x)", "var t=2;", "var t=2;")]
