@@ -340,3 +340,37 @@ def test_stream_takes_files_out(spark, tmp_path, rows):
         stream = spark.readStream.schema("path string, content string").parquet(source)
         index_stream.start(stream, target, str(tmp_path / "check")).awaitTermination()
     assert rows(index_stream.postings(spark, target)) == [("c", 0x616263)]
+
+
+def test_a_posting_is_no_row(spark, tmp_path, rows):
+    """An index has a row for each trigram of a run of files, and one of another format is built anew."""
+    items = [(f"p{i}", f"same words {i % 7}") for i in range(400)]
+    path = str(tmp_path / "i")
+    index = Engine.from_table(spark.createDataFrame(items, "path string, content string").coalesce(1), path).build_index()
+    assert index.postings.count() > 4000 and index.lists.count() == index.meta["trigram_count"] == index.grams.count()
+    assert rows(index.files.groupBy("run").count().select("count")) == [(400,)]
+    meta = f"{index.path}/meta"
+    old = spark.createDataFrame([(4,)], "format_version int")
+    old.write.mode("overwrite").parquet(meta)
+    assert Engine.from_table(spark.createDataFrame(items, "path string, content string"), path).build_index().meta["read_files"] == 400
+
+
+def test_lists_lose_files_step_by_step(spark, tmp_path, rows):
+    make = lambda ids, t=1: spark.createDataFrame([(f"p{i:03}", f"text {i} of many {i % 3}", t, 20) for i in ids], "path string, content string, mtime long, size long")
+    read = lambda i: rows(i.postings.join(i.files, "file_id").select("path", "g"))
+    steps = [make(range(60)), make(i for i in range(60) if i % 2), make(i for i in range(60) if i % 6 == 1).union(make([2, 58], 2)), make([7, 58], 2)]
+    for step in steps:
+        made = indexes.build(step, str(tmp_path / "x"))
+        assert read(made) == read(indexes.build(step, str(tmp_path / "y"), incremental=False))
+    assert made.lists.join(made.files, "run", "left_anti").count() == 0
+
+
+def test_many_paths_meet_lines_and_not_contents(spark, tmp_path, rows, monkeypatch):
+    items = [(f"p{i:02}", f"some hit\nother {i}" if i % 2 else "none") for i in range(30)]
+    engine = Engine.from_table(spark.createDataFrame(items, "path string, content string"), str(tmp_path / "i")).with_config(Config(quiet=True))
+    engine.build_index()
+    expected = rows(engine.search("some hit"))
+    monkeypatch.setattr(corpora, "LISTED", 0)
+    found = engine.search("some hit")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi, (file#" in plan and rows(found) == expected and len(expected) == 15

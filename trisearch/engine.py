@@ -168,8 +168,12 @@ class Engine:
         """Searches the files that the index leaves, as they are now; no others are opened."""
         paths = self.candidates(index, plan(pattern, o, self.config.quiet))
         some = [r["path"] for r in paths.limit(corpora.LISTED + 1).collect()]
-        files = self.corpus(some if len(some) <= corpora.LISTED else paths)
-        return match.find(files, pattern, o.case_insensitive, o.regex)
+        few = len(some) <= corpora.LISTED
+        if self._corpus is not None and not few:
+            # Of a table, lines are shuffled to meet so many paths, and not contents.
+            found = match.find(self._corpus, pattern, o.case_insensitive, o.regex)
+            return found.join(paths.select(F.col("path").alias("file")), "file", "left_semi")
+        return match.find(self.corpus(some if few else paths), pattern, o.case_insensitive, o.regex)
 
     def search(self, pattern: str, options: SearchOptions | None = None) -> DataFrame:
         """(file, line_number, line), ordered by both; at most max_count rows in all."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.trigrams import Query
@@ -27,33 +27,76 @@ def trigrams_sql(text: Column) -> Column:
     return F.when(F.octet_length(text) >= 3, made).otherwise(F.array().cast("array<string>"))
 
 
-#: Bytes of contents whose trigrams are sorted together.
-TOGETHER = 2 << 20
+#: Bytes of contents, and number of them, whose trigrams are sorted together.
+TOGETHER, RUN = 2 << 20, 4096
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The session's Arrow batches hold about as many bytes as are sorted together, however long a table's partitions are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TOGETHER))
+
+
+def _sorted(keys):
+    """The distinct ones of an array of keys, sorted; the array is used up."""
+    import numpy as np
+
+    keys.sort()
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return keys[first]
+
+
+def _windows(data):
+    """The three bytes from each place of an array of bytes, but the last two, as one number."""
+    import numpy as np
+
+    every = data[:-2].astype(np.int64)
+    for part in (data[1:-1], data[2:]):
+        every <<= 8
+        every |= part
+    return every
 
 
 def grams_of(contents: list[bytes], ends: bool = False):
-    """(which, g): the distinct trigrams of each content, packed into ints. With ends the
+    """(which, g): the distinct trigrams of each content, packed into ints, ordered by g and then by content. With ends the
     last bytes begin trigrams too, whose missing bytes are zero; texts have no zero bytes."""
     import numpy as np
 
+    if len(contents) == 1 and len(contents[0]) > TOGETHER:
+        # Of one long content, the distinct ones of its parts, which share two bytes.
+        data, g = np.frombuffer(contents[0] + (b"\0\0" if ends else b""), np.uint8), np.empty(0, np.int64)
+        for at in range(0, len(data) - 2, TOGETHER):
+            g = _sorted(np.concatenate([g, _sorted(_windows(data[at : at + TOGETHER + 2]))]))
+        return np.zeros(len(g), np.int64), g.astype(np.int32)
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    data = np.frombuffer(b"".join(c + b"\0\0" for c in contents), np.uint8).astype(np.int32)
-    every = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-    counts = sizes if ends else np.maximum(sizes - 2, 0)
-    first = np.cumsum(sizes + 2) - (sizes + 2) - (np.cumsum(counts) - counts)
-    keys = np.unique(np.repeat(np.arange(len(contents)), counts) << 24 | every[np.arange(counts.sum()) + np.repeat(first, counts)])
-    return keys >> 24, (keys & 0xFFFFFF).astype(np.int32)
+    data = np.frombuffer(b"".join(c + b"\0\0" for c in contents), np.uint8)
+    keys = _windows(data) if len(data) > 2 else np.empty(0, np.int64)
+    keys <<= 32
+    counts = sizes + 2
+    if len(keys):
+        keys |= np.repeat(np.arange(len(contents), dtype=np.int32), counts)[:-2]
+    # Those that begin in what stands between two contents, and without ends those that go over an end, are none.
+    none = np.zeros(len(data), bool)
+    last = np.cumsum(counts)
+    for back in (1, 2) if ends else (1, 2, 3, 4):
+        at = last - back
+        none[at[counts >= back]] = True
+    keys = _sorted(keys[~none[:-2]])
+    return keys & 0xFFFFFFFF, (keys >> 32).astype(np.int32)
 
 
 def together(batch, column: int):
-    """(first row, contents) of runs of an Arrow batch's rows with few bytes of contents in all; null ones are empty."""
+    """(first row, contents) of runs of an Arrow batch's rows with few bytes of contents in all; null ones are empty. A content that is longer is a run of its own."""
     run, at, size = [], 0, 0
     for i, content in enumerate(batch.column(column)):
-        run.append(content.as_py() or b"")
-        size += len(run[-1])
-        if size >= TOGETHER or i + 1 == batch.num_rows:
+        content = content.as_py() or b""
+        if run and (size + len(content) > TOGETHER or len(run) == RUN):
             yield at, run
-            run, at, size = [], i + 1, 0
+            run, at, size = [], i, 0
+        run.append(content)
+        size += len(content)
+    if run:
+        yield at, run
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -66,8 +109,11 @@ def extract(files: DataFrame) -> DataFrame:
         for batch in batches:
             for at, contents in together(batch, 1):
                 which, g = grams_of(contents)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which + at)), pa.array(g)], names=["file_id", "g"])
+                for lo in range(0, len(g), 200_000):
+                    some = slice(lo, lo + 200_000)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which[some] + at)), pa.array(g[some])], names=["file_id", "g"])
 
+    small_batches(files.sparkSession)
     return files.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).mapInArrow(run, "file_id long, g int")
 
 
