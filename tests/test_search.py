@@ -155,3 +155,24 @@ def test_pages_of_one_address_keep_their_definitions(spark, tmp_path, rows):
     spark.createDataFrame([(i, "https://a.example/x", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = rows(queries.queries()["find_definitions"](spark, str(tmp_path)))
     assert found == [("https://a.example/x", 2, line) for line in ("var t=1; function track(x)", "var t=2;", "var t=2;")]
+
+
+def test_trigrams_of_runs(spark):
+    """Contents whose trigrams are sorted together have few bytes in all, a longer one is taken in parts."""
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    sizes = [1 << 20, 1 << 20, 1 << 19, 5 << 20, 3, *[0] * 5000, 7]
+    contents = [bytes(rnd.choices(b"abc\xc3", k=n)) for n in sizes]
+    runs = list(postings.together(pa.RecordBatch.from_arrays([pa.array(contents)], names=["content"]), 0))
+    assert [c for _, run in runs for c in run] == contents and [at for at, _ in runs] == [sum(len(r) for _, r in runs[:i]) for i in range(len(runs))]
+    assert all(len(run) <= postings.RUN and (len(run) == 1 or sum(map(len, run)) <= postings.TOGETHER) for _, run in runs)
+    for run in ([b"abcab", b"", b"a", b"ab", b"aaaa"], [contents[3]], [b"abc"], [b""], []):
+        for ends in (False, True):
+            which, g = postings.grams_of(run, ends)
+            wide = [c + b"\0\0" if ends else c for c in run]
+            expected = {(int.from_bytes(c[i : i + 3]), k) for k, c in enumerate(wide) for i in range(len(c) - 2)}
+            assert list(zip(g.tolist(), which.tolist())) == sorted(expected)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    postings.extract(spark.createDataFrame([(1, "a")], "file_id long, content string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= postings.TOGETHER
